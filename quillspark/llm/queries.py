@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact, spm, tokcount
+from quillspark.llm import chat_tree, exact, secret_scan, spm, tokcount
+from quillspark.llm.chat_tree import TRAINED
 from quillspark.llm.common import table
 
 
@@ -20,10 +21,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, TRAINED, said)], "conv_id long, turn long, role string, text string")
+    vocabulary = _vocabulary("byte_bpe_50k.json")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_tree.read_back(*chat_tree.prefix_tree(turns, vocabulary), vocabulary)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,7 +44,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
+        "op9_chat_tree": op9_chat_tree,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -61,6 +61,9 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         return self._encoding.encode(text, allowed_special="all", disallowed_special=())
 
+    def text(self, ids: list[int]) -> str:
+        return self._encoding.decode(ids, errors="strict")
+
     def offsets(self, ids: list[int]) -> list[int]:
         """Byte position at which each token starts."""
         return list(accumulate(map(self._length.__getitem__, ids), initial=0))[:-1]
