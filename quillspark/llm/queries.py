@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat_tree, exact, secret_scan, spm, tokcount, toxicity
+from quillspark.llm import chat_tree, exact, near_dup, secret_scan, spm, tokcount, toxicity
 from quillspark.llm.chat_tree import TRAINED
 from quillspark.llm.common import table
 
@@ -27,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
         "op9_chat_tree": op9_chat_tree,
