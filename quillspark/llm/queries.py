@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat_tree, exact, near_dup, secret_scan, spm, tokcount, toxicity
+from quillspark.llm import chat_tree, decontam, exact, near_dup, secret_scan, spm, tokcount, toxicity
 from quillspark.llm.chat_tree import TRAINED
 from quillspark.llm.common import table
 
@@ -39,6 +39,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, TRAINED, said)], "conv_id long, turn long, role string, text string")
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_decontamination": op8_decontamination,
         "op9_chat_tree": op9_chat_tree,
         "op10_exact_dedup": op10_exact_dedup,
     }
