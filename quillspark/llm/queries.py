@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import chat_tree, decontam, exact, near_dup, secret_scan, spm, tokcount, toxicity
+from quillspark.llm import chat_tree, decontam, exact, near_dup, secret_scan, spm, substring, tokcount, toxicity
 from quillspark.llm.chat_tree import TRAINED
 from quillspark.llm.common import table
 
@@ -39,6 +40,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_chat_tree": op9_chat_tree,
         "op10_exact_dedup": op10_exact_dedup,
