@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_tree, decontam, exact, near_dup, secret_scan, spm, substring, tokcount, toxicity
+from quillspark.llm import chat_tree, context_tree, decontam, exact, near_dup, secret_scan, spm, substring, tokcount, toxicity
 from quillspark.llm.chat_tree import TRAINED
 from quillspark.llm.common import table
 
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
+        "op3_context_tree": op3_context_tree,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
