@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
 
-DEPTH, LEAVES = 5, 1 << 15
+DEPTH, LEAVES = 6, 1 << 16
 #: Bytes of text in a chunk; distinct byte runs a task holds before it passes them on.
-CHUNK, HELD = 4 << 20, 4_000_000
+CHUNK, HELD = 4 << 20, 2_000_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def kt_next(counts: np.ndarray) -> np.ndarray:
 class Tree:
     """``step[node, byte]``: the next node if not negative, else the leaf ``-1 - step``.
     ``log10[leaf, symbol]``: log10 probability. 1 KB for each inner node and for each
-    leaf: with ``LEAVES`` nodes of each depth at most, 5 * 32 MB each at the very worst."""
+    leaf: with ``LEAVES`` nodes of each depth at most, 6 * 64 MB each at the very worst."""
 
     step: np.ndarray
     log10: np.ndarray
