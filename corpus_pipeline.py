@@ -1,23 +1,57 @@
-"""Corpus pipeline: five operators applied one after another to ``documents``."""
+"""Corpus pipeline: five operators applied one after another to ``documents``.
+
+Each stage reads all that the one before kept. Every stage but the last returns the
+columns it was given; the last returns each document's token ids and what they
+decode to. Run by ``run`` or stage by stage from ``STAGES``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import exact
+from quillspark.llm import decontam, exact, near_dup, spm, toxicity
 from quillspark.llm.common import table, written
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose severity grade is likelier above the lowest than not go."""
+    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"), toxicity.severity()))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one document stays."""
     return exact.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dup.keep_one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, begin and end included, and a digest of what they decode to."""
+    import public_tokenizers
+
+    coded = spm.encode_table(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES = [
-    ("exact_dedup", exact_copies),
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("sentencepiece", encode),
 ]
 
-#: No single SQL statement expresses the fitted and the tokenizing stages.
+#: A fitted model decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
