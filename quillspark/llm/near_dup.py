@@ -6,13 +6,16 @@
   documents with the similarity asked for, two neighbouring values of their
   union's sketch are in both but for a chance of about 2e-7 at ``k`` = 48; for
   sets no larger than ``k`` it is certain. A list of up to ``SHORT`` classes gives
-  all its pairs. In a longer list each class is paired with the list's first, and
-  the list is dealt again by the two values that follow, so no list ever gives
-  pairs that grow with its square.
+  all its pairs. In a longer list each class is paired with the most central one,
+  which has most values in long lists.
 * The sketch of the union, made from both sketches, estimates each pair's
   similarity; pairs more than ``SIGMAS`` standard errors below the threshold go.
 * The rest is decided by exact Jaccard on the full sets: first each class's most
   promising pair, then all pairs that would still join two groups.
+* A long list whose members are then in one group is done. In any other, the
+  members outside the central one's group are compared with all members of other
+  groups, block by block, so that no task holds more than two blocks of a list,
+  and only pairs that the union's sketch does not rule out are passed on.
 
 Defined results. A null or empty text, or one of white space only, has no set and
 is linked with nothing. A text with fewer words than a shingle has one shingle,
@@ -25,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +38,7 @@ from quillspark.llm.common import written
 from quillspark.llm.graph import components
 
 WORDS, THRESHOLD, K = 5, 75, 48
-SHORT, SIGMAS = 6, 4.5
+SHORT, SIGMAS, BLOCK = 6, 4.5, 512
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
 FILTER_BITS = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -89,29 +93,75 @@ def _signatures(k: int, words: int):
     return run
 
 
-def _in_lists(postings: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, rest)``: pairs from the lists of one key, and the postings of long lists."""
-    lists = postings.groupBy(key).agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("rep", "n")).alias("first")).filter("length > 1")
-    held = postings.join(lists, key)
-    first = held.filter(F.col("rep") != F.col("first.rep")).select(F.col("first.rep").alias("a"), F.col("first.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    short = held.filter(F.col("length").between(3, SHORT)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("all"))
-    one = short.select("all", F.posexplode("all").alias("i", "x"))
-    pair = one.select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("y")).select(F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("y.rep").alias("b"), F.col("y.n").alias("n_b"))
-    return first.unionByName(pair), held.filter(F.col("length") > SHORT).drop("length", "first")
+def _postings(reps: DataFrame) -> DataFrame:
+    """A row for each class and key: ``rep``, ``n``, ``key``."""
+    keys = F.zip_with(F.slice("sketch", F.lit(1), F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch") - 1), lambda a, b: F.xxhash64(a, b))
+    return reps.filter(F.size("sketch") > 1).select("rep", "n", F.explode(keys).alias("key"))
 
 
-def candidates(reps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a`` < ``b`` of classes from the inverted lists of their sketches
-    (``rep``, ``n``, ``sketch``) whose sizes allow the similarity."""
-    follow = F.zip_with(
-        F.slice("sketch", F.lit(3), F.size("sketch")), F.slice("sketch", F.lit(4), F.size("sketch")), lambda c, d: F.xxhash64(F.coalesce(c, F.lit(0)), F.coalesce(d, F.lit(0)))
-    )
-    keys = F.zip_with(F.slice("sketch", F.lit(1), F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch") - 1), lambda a, b: F.xxhash64(a, b))
-    postings = reps.filter(F.size("sketch") > 1).select("rep", "n", F.explode(F.arrays_zip(keys.alias("key"), follow.alias("follow"))).alias("p")).select("rep", "n", "p.key", F.coalesce("p.follow", F.lit(0)).alias("follow"))
-    pairs, rest = _in_lists(postings, "key")
-    more, _ = _in_lists(rest.select("rep", "n", F.xxhash64("key", "follow").alias("key")), "key")
+def _allowed(pairs: DataFrame, threshold: int) -> DataFrame:
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.unionByName(more).filter(100 * low >= threshold * high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.filter("a != b").filter(100 * low >= threshold * high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def candidates(reps: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, lists)`` of classes (``rep``, ``n``, ``sketch``): the pairs ``a`` < ``b``
+    whose sizes allow the similarity, and the long lists (``key``, ``length``, ``hub``, ``rep``)."""
+    postings = _postings(reps)
+    lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+    held = written(postings.join(lengths, "key"))
+    short = held.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("all"))
+    one = short.select("all", F.posexplode("all").alias("i", "x"))
+    few = one.select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("y")).select(F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("y.rep").alias("b"), F.col("y.n").alias("n_b"))
+    long = held.filter(F.col("length") > SHORT)
+    ranked = long.join(long.groupBy("rep").agg(F.count(F.lit(1)).alias("rank")), "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("rep")).alias("back"), "n")).alias("hub"))
+    lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub"), F.col("hub.n").alias("n_hub")), "key"))
+    star = lists.select(F.col("hub").alias("a"), F.col("n_hub").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    return _allowed(few.unionByName(star), threshold).distinct(), lists.select("key", "length", "hub", "rep", "n")
+
+
+def _shared_share(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """The estimate of two sketches from the sketch of their union."""
+    u = np.union1d(x, y)[:k]
+    return len(np.intersect1d(np.intersect1d(u, x, assume_unique=True), y, assume_unique=True)) / len(u)
+
+
+def completed(lists: DataFrame, groups: DataFrame, reps: DataFrame, threshold: int, k: int) -> DataFrame:
+    """Pairs of long lists that may still join two groups: members outside the
+    hub's group against all members of other groups, by blocks."""
+    at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    placed = lists.join(at("rep"), "rep", "left").join(at("hub"), "hub", "left").select("key", "length", "rep", "n", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("main"))
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
+    members = written(placed.join(split, "key").join(reps.select("rep", "sketch"), "rep"))
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.withColumn("blocks", blocks)
+    outside = dealt.filter("c != main").select("key", own.alias("i"), every.alias("j"), F.lit(True).alias("outside"), "rep", "n", "c", "sketch")
+    inside = dealt.select("key", every.alias("i"), own.alias("j"), F.lit(False).alias("outside"), "rep", "n", "c", "sketch")
+    t = threshold / 100
+    floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, rest = pdf[pdf["outside"]], pdf[~pdf["outside"]]
+        found = []
+        if len(out) and len(rest):
+            wide = np.full((len(rest), k), np.iinfo(np.int64).max)
+            for r, s in enumerate(rest["sketch"]):
+                wide[r, : len(s)] = s
+            reps_, sizes, comps = (rest[c].to_numpy() for c in ("rep", "n", "c"))
+            for rep, n, c, s in zip(out["rep"], out["n"], out["c"], out["sketch"], strict=True):
+                both = np.isin(wide, s).sum(axis=1)
+                low, high = np.minimum(sizes, n), np.maximum(sizes, n)
+                # values in both sketches are at least as many as count for the estimate
+                likely = (comps != c) & (100 * low >= threshold * high) & (both >= floor * np.minimum(k, low))
+                for r in np.flatnonzero(likely):
+                    e = _shared_share(wide[r][wide[r] != np.iinfo(np.int64).max], np.asarray(s), k)
+                    if e >= floor:
+                        found.append((min(rep, reps_[r]), max(rep, reps_[r]), e))
+        return pd.DataFrame(found, columns=["a", "b", "estimate"])
+
+    return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD, k: int = K) -> DataFrame:
@@ -162,6 +212,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) ->
     return two.mapInArrow(compare, "a long, b long")
 
 
+def _joined(pairs: DataFrame, texts: DataFrame, threshold: int, words: int, groups: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after all ``pairs`` that hold: each class's most
+    promising pair first, then those that would still join two groups."""
+    for first in (True, False):
+        if first:
+            chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
+        else:
+            at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+            apart = pairs.join(done, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+            chosen = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        done = written(chosen)
+        if done.isEmpty():
+            break
+        sure = _verified(done, texts, threshold, words)
+        groups = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(sure))
+    return groups
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = WORDS, k: int = K) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -170,17 +238,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = written(classes.filter("size > 1").select("digest", "rep"))
     reps = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(copies, "digest", "left").filter("rep IS NULL OR doc_id = rep")
     reps = written(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"]))
-    pairs = written(estimated(candidates(reps, threshold), reps, threshold, k))
+    pairs, lists = candidates(reps, threshold)
+    pairs = written(estimated(pairs, reps, threshold, k))
     texts = rows.withColumnRenamed("doc_id", "rep").filter("rep IS NOT NULL")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
-    sure = written(_verified(best, texts, threshold, words))
-    groups = components(sure)
-    at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    open_ = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    open_ = written(open_.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
-    if not open_.isEmpty():
-        more = written(_verified(open_, texts, threshold, words))
-        groups = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    groups = _joined(pairs, texts, threshold, words, components(pairs.limit(0).select("a", "b")))
+    more = written(completed(lists, groups, reps, threshold, k))
+    if not more.isEmpty():
+        groups = _joined(more, texts, threshold, words, groups)
     rep = F.coalesce("rep", "doc_id")
     classed = base.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").withColumn("rep", rep)
     found = classed.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
