@@ -72,3 +72,25 @@ def best_route(grid: DataFrame, score: str = "exact", order: str = "route_id") -
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def recoverable(field: Column, truth: Column, text: Column) -> Column:
+    """Whether a text holds the truth at all: a total within a cent, a date on some
+    line, anything else by windows of words from a similarity of 0.80."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    want, day = X.parse_money(truth), X.normalize_date(truth)
+    total = F.exists(lines, lambda x: F.exists(X.money_values(x), lambda v: F.abs(v - want) < 0.01))
+    date = F.exists(lines, lambda x: F.coalesce(X.normalize_date(x) == day, F.lit(False)))
+    near = K.partial_similarity_udf(truth, text) >= 0.80
+    some = truth.isNotNull() & (F.trim(truth) != "") & text.isNotNull() & (text != "")
+    return F.coalesce(some & F.when(field == "total", total).when(field == "date", date).otherwise(near), F.lit(False))
+
+
+def retrieval_task(addresses: DataFrame, places: DataFrame, address: str = "address", place: str = "place") -> DataFrame:
+    """Queries and the addresses that hold them: ``place``, ``relevant`` (sorted). Places
+    of four letters or more; of those with the same addresses, the longest name stays.
+    ``places`` is a fixed list, broadcast; addresses are matched in one pass."""
+    corpus = addresses.select(F.trim(address).alias("address")).filter("address != ''").distinct().withColumn("key", X.normalize_key(F.col("address")))
+    named = places.select(F.col(place).alias("place"), X.normalize_key(F.col(place)).alias("p")).filter("length(p) >= 4")
+    found = corpus.join(F.broadcast(named), F.contains("key", "p")).groupBy("place").agg(F.array_sort(F.collect_set("address")).alias("relevant"))
+    return first_of_each(found, ["relevant"], [F.desc(F.length("place")), F.col("place")])

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import intervals, metrics, search
+from quillspark import api
+from quillspark.operators import intervals, metrics, models, search
 from quillspark.operators.extract import entity_rows
 from quillspark.sources import files, store
 from quillspark.streaming import ingest
@@ -134,6 +135,43 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted(map(str, ingest.extracted(docs).collect()))
 
 
+def test_models_and_api(spark, tmp_path):
+    docs = spark.createDataFrame([(1, TEXTS[0]), (2, None), (3, TEXTS[1])], "doc_id long, text string")
+    model = lambda texts: [json.dumps({"total": 5.0, "phone": "03-1234 5678"}) for _ in texts]
+    got = {r.doc_id: r for r in api.process(docs, model).collect()}
+    assert got[1].fields.total == "5.00" and got[1].fields.phone == "03-1234 5678" and got[2].fields.total is None
+    assert got[3].fields.total == "9.00"
+
+    def broken(texts):
+        raise RuntimeError("no weights")
+
+    assert [r.fields.total for r in api.process(docs, broken).orderBy("doc_id").collect()] == ["5.00", None, "9.00"]
+    differs = {(r.doc_id, r.type) for r in api.compare(docs, model).filter("differs").collect()}
+    assert (1, "PHONE") in differs and (1, "TOTAL") not in differs
+    said = json.loads(docs.filter("doc_id = 1").select(models.messages(F.col("text"), [("x", '{"total": 1, "items": []}')], items=False)).first()[0])
+    assert [m["role"] for m in said] == ["system", "user", "assistant", "user"] and "items" not in said[2]["content"] and TEXTS[0] in said[3]["content"]
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    api.ingest(s, api.process(docs.filter("text IS NOT NULL"), model))
+    assert s.stats()["documents"] == 2 and "[[KEDAI ALI SDN BHD]]" in api.show(s, 1) and '<mark class="ent ent-MERCHANT"' in api.show(s, 1, html=True)
+    images = spark.createDataFrame([("/a.png", "a.png", b"KEDAI ALI SDN BHD\nTotal 5.00")], "path string, filename string, content binary")
+    reader = lambda blobs: [[{"x": 0.0, "y": 20.0 * k, "height": 10.0, "text": t, "conf": 0.9} for k, t in enumerate(b.decode().split("\n"))] for b in blobs]
+    assert api.process_images(images, reader).first().fields.total == "5.00"
+    with pytest.raises(ValueError, match="unknown model"):
+        models.resolve(models.READERS, "none")
+    boxes = "array<struct<x:double,y:double,height:double,text:string,conf:double>>"
+    variants = spark.createDataFrame([(1, 0, [(0.0, 0.0, 1.0, "a", 0.5)]), (1, 1, [(0.0, 0.0, 1.0, "b", 0.5)]), (2, 0, [(0.0, 0.0, 1.0, "c", 0.2)]), (2, 1, [(0.0, 0.0, 1.0, "d", 0.4)])], f"k int, variant_order int, boxes {boxes}")
+    assert {r.k: r.variant_order for r in models.best_variant(variants, ["k"]).collect()} == {1: 0, 2: 1}
+
+
+def test_recoverable_and_retrieval_task(spark):
+    rows = [("total", "5.00", "x\nTotal 5-00"), ("date", "1/2/2020", "a\n01-02-2020"), ("company", "KEDAI ALI", "x KEDAI ALL y"), ("company", "", "x"), ("total", "6.00", None)]
+    df = spark.createDataFrame(rows, "f string, t string, x string")
+    assert [r[0] for r in df.select(metrics.recoverable(F.col("f"), F.col("t"), F.col("x"))).collect()] == [True, True, True, False, False]
+    addresses = spark.createDataFrame([("1 Jalan A, Johor Bahru",), ("2 Jalan B, Ipoh",), (" ",)], "address string")
+    places = spark.createDataFrame([("johor",), ("johor bahru",), ("ipoh",), ("kl",)], "place string")
+    assert {r.place for r in metrics.retrieval_task(addresses, places).collect()} == {"johor bahru", "ipoh"}
+
+
 def test_entry_works_without_the_llm_folder():
     import subprocess
     import sys
