@@ -82,5 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_near_duplicates": near_dup.ORACLE,
+        "op7_substring_dedup": substring.ORACLE,
+        "op9_chat_tree": chat_tree.ORACLE,
         "op10_exact_dedup": exact.ORACLE,
     }

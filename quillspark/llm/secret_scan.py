@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -145,7 +146,8 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
         out = []
         for kind, content, start, end in assigned[k][1]:
             if kind == "name" and content in by_name and content != assigned[k][0]:
-                at = max((j for j in by_name[content] if j < k), default=by_name[content][0])
+                own = by_name[content]
+                at = own[max(0, bisect_left(own, k) - 1)]  # the last one before, else the first
                 if at not in seen and len(seen) < 16:
                     out += constant(at, seen | {at})
                     continue
