@@ -195,3 +195,8 @@ def values_agree(kind: Column, a: Column, b: Column, alike: Column) -> Column:
     return F.coalesce(a.isNotNull() & b.isNotNull() & same, F.lit(False))
 
 
+
+
+def coarse_type(kind: Column) -> Column:
+    classes = F.create_map(*(F.lit(x) for kv in V.COARSE.items() for x in kv))
+    return F.coalesce(F.try_element_at(classes, kind), F.lit("MISC"))

@@ -110,3 +110,8 @@ FIELDS = {
 MONEY_TYPES = ["SUBTOTAL", "TAX", "TOTAL", "PAID", "CHANGE"]
 SEMANTIC_TYPES = ["MERCHANT", "ADDRESS", "ITEM", "CASHIER"]
 LOCATION_TYPES = ["ADDRESS", "MERCHANT"]
+#: Coarse classes of entity types; any other type is MISC.
+COARSE = {
+    "MERCHANT": "ORG", "ADDRESS": "LOC", "PHONE": "MISC", "TAX_ID": "MISC", "INVOICE_NO": "MISC", "DATE": "TIME", "TIME": "TIME", "ITEM": "PRODUCT", "SUBTOTAL": "MONEY",
+    "TAX": "MONEY", "TOTAL": "MONEY", "PAID": "MONEY", "CHANGE": "MONEY", "CURRENCY": "MISC", "PAYMENT_METHOD": "MISC", "CASHIER": "PERSON",
+}

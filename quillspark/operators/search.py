@@ -70,6 +70,11 @@ def cosine_top(vectors: DataFrame, query: DataFrame, limit: int, least: float =
     return near.orderBy(F.desc("score"), id_col).limit(limit).filter(F.col("score") >= least).drop("query")
 
 
+def nearest_without(vectors: DataFrame, query: DataFrame, key: str, limit: int = 3, id_col: str = "vec_id", vec_col: str = "embedding", text_col: str = "text") -> DataFrame:
+    """What a query finds among texts that do not hold its key."""
+    return cosine_top(vectors.filter(~X.normalize_key(F.col(text_col)).contains(key)), query, limit, -1.0, id_col, vec_col)
+
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 

@@ -107,6 +107,20 @@ def place_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", X.looks_like_place(X.normalize_key(F.col("n_name"))).alias("place"))
 
 
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ORG' WHEN 1 THEN 'MONEY' WHEN 2 THEN 'PERSON' ELSE 'MISC' END AS class FROM part")
+def coarse_types(spark, d):
+    kind = F.get(F.array(*map(F.lit, ["MERCHANT", "TOTAL", "CASHIER", "OTHER"])), F.col("p_size") % 4)
+    return table(spark, d, "part").select("p_partkey", X.coarse_type(kind).alias("class"))
+
+
+@query("""SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b
+WHERE a.label <> 3 ORDER BY list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, a.vec_id LIMIT 3""")
+def nearest_without(spark, d):
+    e = table(spark, d, "embeddings").withColumn("text", F.concat(F.lit("label "), F.col("label").cast("string")))
+    one = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("query"))
+    return search.nearest_without(e, one, "label 3").select("vec_id", F.round("score", 4).alias("score"))
+
+
 # -- relational core
 
 
