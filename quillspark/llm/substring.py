@@ -6,7 +6,8 @@ anchors, and neighbouring windows mostly share theirs, so a document has some
 twenty times fewer anchors than windows. Every partition makes a count-min sketch
 of its documents' anchors; merged, they never count a window too low. The second
 pass groups exactly, by a 128-bit hash, only windows whose estimate says that two
-documents may have them. No repeated window is lost: its anchor is counted once
+documents may have them: first whole runs of windows with one anchor, of which a
+copied passage is made, then the single windows of runs that no smaller id has. No repeated window is lost: its anchor is counted once
 for each document that holds it.
 
 The sketch is as wide as the input asks for up to ``MAX_WIDTH`` cells, so the bits
@@ -27,9 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import written
 from quillspark.llm.near_dup import _mixed, word_hashes
 
 WINDOW, GRAM = 50, 8
@@ -123,14 +126,18 @@ def repeated_cells(texts: DataFrame, window: int, width: int) -> list[bytes]:
     return [bytes(b) for b in found]
 
 
-def _flagged(window: int, width: int, sent):
+def _blocks(window: int, width: int, sent):
+    """Runs of windows with one anchor that the sketch says may be repeated: a digest of
+    the run, and its windows' hashes."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         bits = [np.frombuffer(b, dtype=np.uint8) for b in sent.value]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         with np.errstate(over="ignore"):
             for part in parts:
-                ids, tids = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                out = []
+                ids, tids = part.column(0).to_pylist(), part.column(1).to_pylist()
+                out, size = [], 0
                 for k, w in _documents(part, 2, known, window):
                     anchors, at = np.unique(w.anchors(), return_inverse=True)
                     twice = np.ones(len(anchors), dtype=bool)
@@ -139,20 +146,36 @@ def _flagged(window: int, width: int, sent):
                         twice &= (bits[row][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
                     if not twice.any():
                         continue
-                    pos = np.flatnonzero(twice[at])
-                    out.append((np.full(len(pos), ids[k]), np.full(len(pos), tids[k]), pos, *(w.runs(window, s).view(np.int64)[pos] for s in _SEEDS)))
-                    if sum(len(x[0]) for x in out) > 200_000:
-                        yield _windows(out)
-                        out = []
+                    hashes = np.stack([w.runs(window, s) for s in _SEEDS], axis=1)
+                    starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+                        if twice[at[a]]:
+                            data = hashes[a:b].tobytes()
+                            out.append((ids[k], tids[k], a, xxhash.xxh3_128_digest(data), data))
+                            size += len(data)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _BLOCK)
+                        out, size = [], 0
                 if out:
-                    yield _windows(out)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _BLOCK)
 
     return run
 
 
-def _windows(out: list[tuple]) -> pa.RecordBatch:
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32)), pa.array(cols[3]), pa.array(cols[4])], ["doc_id", "tid", "pos", "h1", "h2"])
+_BLOCK = ["doc_id", "tid", "start", "block", "hashes"]
+
+
+def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of blocks."""
+    for part in parts:
+        if not part.num_rows:
+            continue
+        found = [np.frombuffer(x.as_buffer(), dtype=np.int64).reshape(-1, 2) for x in part.column(3)]
+        sizes = [len(x) for x in found]
+        ids, tids, starts = (np.repeat(part.column(c).to_numpy(), sizes) for c in range(3))
+        within = np.concatenate([np.arange(n) for n in sizes])
+        both = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tids), pa.array((starts + within).astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "tid", "pos", "h1", "h2"])
 
 
 def _kept(window: int, columns: list[str]):
@@ -164,9 +187,9 @@ def _kept(window: int, columns: list[str]):
                 gone = 0
                 if starts.is_valid:
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = starts.values.to_numpy()
+                    at, n = (x.to_numpy() for x in starts.values.flatten())
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, at + n - 1 + window, -1)
                     stays = np.cumsum(edge)[:-1] == 0
                     gone = len(words) - int(stays.sum())
                     words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
@@ -186,9 +209,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width = min(MAX_WIDTH, max(MIN_WIDTH, 1 << (size // BYTES_A_CELL).bit_length()))
     named = rows.filter("doc_id IS NOT NULL")
     sent = spark.sparkContext.broadcast(repeated_cells(named.select("text"), window, width))
-    windows = named.mapInArrow(_flagged(window, width, sent), "doc_id long, tid long, pos int, h1 long, h2 long")
+    blocks = named.mapInArrow(_blocks(window, width, sent), "doc_id long, tid long, start int, block binary, hashes binary")
+    held = written(blocks.join(blocks.groupBy("block").agg(F.min("doc_id").alias("first")), "block").withColumn("n", (F.octet_length("hashes") / 16).cast("int")).withColumn("hashes", F.when(F.col("doc_id") == F.col("first"), F.col("hashes"))).drop("block"))
+    # a window's smallest id has it in a block that no smaller id has
+    windows = held.filter("hashes IS NOT NULL").select("doc_id", "tid", "start", "hashes").mapInArrow(_windows, "doc_id long, tid long, pos int, h1 long, h2 long")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    gone = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id", "tid").agg(F.collect_list("pos").alias("starts"))
+    single = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "tid", F.struct(F.col("pos").alias("start"), F.lit(1).alias("n")).alias("x"))
+    whole = held.filter("doc_id > first").select("doc_id", "tid", F.struct("start", "n").alias("x"))
+    gone = whole.unionByName(single).groupBy("doc_id", "tid").agg(F.collect_list("x").alias("starts"))
     joined = rows.join(gone, ["doc_id", "tid"], "left").select("doc_id", "text", "starts")
     out = ["doc_id", "n_words", "n_removed", "kept"]
     return joined.mapInArrow(_kept(window, out), "doc_id long, n_words long, n_removed long, kept string")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), hits AS (
+  SELECT doc_id, i FROM windows JOIN (SELECT x, min(doc_id) AS first FROM windows GROUP BY x) USING (x) WHERE doc_id > first
+), gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS p FROM hits, range(50) r(k) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(p, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
