@@ -5,7 +5,7 @@ smallest hash of the ``GRAM``-word runs inside it: equal windows have equal
 anchors, and neighbouring windows mostly share theirs, so a document has some
 twenty times fewer anchors than windows. Every partition makes a count-min sketch
 of its documents' anchors; merged, they never count a window too low. The second
-pass groups exactly, by a 128-bit hash, only windows whose estimate says that two
+pass groups exactly, by a 96-bit hash, only windows whose estimate says that two
 documents may have them: first whole runs of windows with one anchor, of which a
 copied passage is made, then the single windows of runs that no smaller id has. No repeated window is lost: its anchor is counted once
 for each document that holds it.
@@ -37,8 +37,8 @@ from quillspark.llm.near_dup import _mixed, word_hashes
 
 WINDOW, GRAM = 50, 8
 ROWS, MIN_WIDTH, MAX_WIDTH, BYTES_A_CELL = 2, 1 << 16, 1 << 27, 16
-#: Cells that are merged together.
-BLOCK = 1 << 16
+#: Bytes of a window's hash; cells that are merged together.
+HASH_BYTES, BLOCK = 12, 1 << 16
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -146,11 +146,11 @@ def _blocks(window: int, width: int, sent):
                         twice &= (bits[row][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
                     if not twice.any():
                         continue
-                    hashes = np.stack([w.runs(window, s) for s in _SEEDS], axis=1)
+                    h1, h2 = w.runs(window, _SEEDS[0]), w.runs(window, _SEEDS[1]).astype(np.uint32)
                     starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
                     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
                         if twice[at[a]]:
-                            data = hashes[a:b].tobytes()
+                            data = h1[a:b].tobytes() + h2[a:b].tobytes()
                             out.append((ids[k], tids[k], a, xxhash.xxh3_128_digest(data), data))
                             size += len(data)
                     if size > 4 << 20:
@@ -170,12 +170,13 @@ def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         if not part.num_rows:
             continue
-        found = [np.frombuffer(x.as_buffer(), dtype=np.int64).reshape(-1, 2) for x in part.column(3)]
-        sizes = [len(x) for x in found]
+        found = [x.as_py() for x in part.column(3)]
+        sizes = [len(x) // HASH_BYTES for x in found]
         ids, tids, starts = (np.repeat(part.column(c).to_numpy(), sizes) for c in range(3))
         within = np.concatenate([np.arange(n) for n in sizes])
-        both = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tids), pa.array((starts + within).astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "tid", "pos", "h1", "h2"])
+        h1 = np.concatenate([np.frombuffer(x, dtype=np.int64, count=n) for x, n in zip(found, sizes, strict=True)])
+        h2 = np.concatenate([np.frombuffer(x, dtype=np.int32, offset=8 * n) for x, n in zip(found, sizes, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tids), pa.array((starts + within).astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "tid", "pos", "h1", "h2"])
 
 
 def _kept(window: int, columns: list[str]):
@@ -210,9 +211,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = rows.filter("doc_id IS NOT NULL")
     sent = spark.sparkContext.broadcast(repeated_cells(named.select("text"), window, width))
     blocks = named.mapInArrow(_blocks(window, width, sent), "doc_id long, tid long, start int, block binary, hashes binary")
-    held = written(blocks.join(blocks.groupBy("block").agg(F.min("doc_id").alias("first")), "block").withColumn("n", (F.octet_length("hashes") / 16).cast("int")).withColumn("hashes", F.when(F.col("doc_id") == F.col("first"), F.col("hashes"))).drop("block"))
+    held = written(blocks.join(blocks.groupBy("block").agg(F.min("doc_id").alias("first")), "block").withColumn("n", (F.octet_length("hashes") / HASH_BYTES).cast("int")).withColumn("hashes", F.when(F.col("doc_id") == F.col("first"), F.col("hashes"))).drop("block"))
     # a window's smallest id has it in a block that no smaller id has
-    windows = held.filter("hashes IS NOT NULL").select("doc_id", "tid", "start", "hashes").mapInArrow(_windows, "doc_id long, tid long, pos int, h1 long, h2 long")
+    windows = held.filter("hashes IS NOT NULL").select("doc_id", "tid", "start", "hashes").mapInArrow(_windows, "doc_id long, tid long, pos int, h1 long, h2 int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     single = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "tid", F.struct(F.col("pos").alias("start"), F.lit(1).alias("n")).alias("x"))
     whole = held.filter("doc_id > first").select("doc_id", "tid", F.struct("start", "n").alias("x"))
