@@ -12,9 +12,9 @@ So the tree has at most ``LEAVES`` nodes of each depth at every size of the inpu
 which bounds the broadcast table (see ``Tree``).
 
 Beside it stands a word base: add-0.1 unigram probabilities. Word counts have no
-bound, so they are joined, not broadcast: documents are packed into chunks, each
-chunk's distinct words are joined with the counts, and each chunk gets its own
-counts back.
+bound, so they are never broadcast: documents are packed into chunks, each chunk's
+distinct words (as 64-bit hashes) are summed over all chunks, and each chunk gets
+its own words' counts back.
 
 Defined results. A null text counts as empty: no bytes, one token (the end). A null
 id counts as the empty string and is held out. Without training documents all
@@ -32,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
 
 DEPTH, LEAVES = 6, 1 << 16
-#: Bytes of text in a chunk; distinct byte runs a task holds before it passes them on.
-CHUNK, HELD = 4 << 20, 2_000_000
+#: Bytes of text in a chunk; bytes looked at together.
+CHUNK, STEP = 12 << 20, 1 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -89,8 +90,8 @@ class Tree:
             return 0.0
         total = 0.0
         padded = np.frombuffer(bytes(DEPTH) + data, dtype=np.uint8)
-        for start in range(0, len(data), 1 << 20):
-            n = min(1 << 20, len(data) - start)
+        for start in range(0, len(data), STEP):
+            n = min(STEP, len(data) - start)
             leaf = np.zeros(n, dtype=np.int32)
             node = np.zeros(n, dtype=np.int32)
             open_ = np.arange(n)
@@ -190,21 +191,17 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
 
 def _chunks(size: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
+        number = TaskContext.get().partitionId() << 32
         for part in parts:
-            ids, out, kept, n = part.column(0), part.column(1), [], 0
-            rows = []
+            ids, out, kept, n, rows = part.column(0), part.column(1), [], 0, []
 
             def close():
-                words = Counter()
-                for k, data in kept:
-                    tokens = data.split()
-                    words.update(dict.fromkeys(tokens, 0) if out[k].as_py() else tokens)
+                nonlocal number
+                index = pa.array([k for k, _ in kept])
                 offsets = np.cumsum([0, *(len(d) for _, d in kept)]).tolist()
-                index = [k for k, _ in kept]
-                joined = b"".join(d for _, d in kept)
-                key = xxhash.xxh3_128_hexdigest(joined + repr([ids[k].as_py() for k in index]).encode())
-                rows.append((f"{key}-{len(rows)}", ids.take(pa.array(index)).to_pylist(), out.take(pa.array(index)).to_pylist(), offsets, pack.compress(joined), [w.decode() for w in words], list(words.values())))
+                rows.append((number, ids.take(index).to_pylist(), out.take(index).to_pylist(), offsets, pack.compress(b"".join(d for _, d in kept))))
+                number += 1
                 kept.clear()
 
             for k, x in enumerate(part.column(2)):
@@ -215,95 +212,136 @@ def _chunks(size: int):
                     n = 0
             if kept:
                 close()
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = (pa.string(), pa.list_(ids.type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["chunk", "ids", "held_out", "offsets", "data", "words", "counts"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.list_(ids.type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["chunk", "ids", "held_out", "offsets", "data"])
 
     return run
 
 
-def _runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all runs of DEPTH + 1 bytes of training documents, the newest byte lowest."""
-    unpack = zstandard.ZstdDecompressor()
-    codes, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def _texts(held_out, offsets, data) -> Iterator[tuple[bool, bytes]]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    for a, b, h in zip(offsets, offsets[1:], held_out, strict=False):
+        yield h, data[a:b]
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
 
+def _vocabulary(texts: list[tuple[bool, bytes]]) -> Counter:
+    """Words of a chunk in order of appearance -> how often training documents have them."""
+    words: Counter = Counter()
+    for held, text in texts:
+        tokens = text.split()
+        words.update(dict.fromkeys(tokens, 0) if held else tokens)
+    return words
+
+
+def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        for held, offsets, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-            data = unpack.decompress(data.as_py())
-            joined = b"".join(bytes(DEPTH) + data[a:b] for a, b, h in zip(offsets, offsets[1:], held, strict=False) if not h)
-            x = np.frombuffer(joined, dtype=np.uint8).astype(np.int64)
-            own = np.ones(len(x), dtype=bool)  # not the zeros put before a text
-            at = 0
-            for a, b, h in zip(offsets, offsets[1:], held, strict=False):
-                if not h:
+        for row in part.to_pylist():
+            words = _vocabulary(list(_texts(row["held_out"], row["offsets"], row["data"])))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+            n = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["chunk"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n)], ["chunk", "i", "h", "n"])
+
+
+def _counted(known: list[np.ndarray]):
+    """Counts of (context, next byte). ``known``: for each depth from 1 on, the table of
+    (node of the depth before, byte) -> node or -1; without any, all contexts of one byte."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (int(known[-1].max(initial=-1)) + 1 if known else 256) << 8
+        total = None
+        for part in parts:
+            for row in part.to_pylist():
+                texts = [bytes(DEPTH) + t for held, t in _texts(row["held_out"], row["offsets"], row["data"]) if not held and t]
+                x = np.frombuffer(b"".join(texts), dtype=np.uint8)
+                own = np.ones(len(x), dtype=bool)  # not the zeros put before a text
+                for at in np.cumsum([0, *map(len, texts)])[:-1]:
                     own[at : at + DEPTH] = False
-                    at += DEPTH + b - a
-            if not own.any():
-                continue
-            code = np.zeros(len(x) - DEPTH, dtype=np.int64)
-            for k in range(DEPTH + 1):
-                code = (code << 8) | x[k : len(x) - DEPTH + k]
-            new, n = np.unique(code[own[DEPTH:]], return_counts=True)
-            both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-            codes = both
-            if len(codes) > HELD:
-                yield batch()
-                codes, counts = codes[:0], counts[:0]
-    if len(codes):
-        yield batch()
+                for k in range(0, len(x), STEP):
+                    at = (np.flatnonzero(own[k : k + STEP]) + k).astype(np.int32)
+                    node = x[at - 1].astype(np.int32) if not known else np.zeros(len(at), dtype=np.int32)
+                    for d, table in enumerate(known, 1):
+                        node = table[node, x[at - d]]
+                        node, at = node[node >= 0], at[node >= 0]
+                    found = np.bincount((node << 8) | x[at], minlength=size)
+                    total = found if total is None else np.add(total, found, out=total)
+        if total is not None and total.any():
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(total[cell])], ["cell", "n"])
+
+    return run
+
+
+def _level(cells: np.ndarray, n: np.ndarray, names: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts frequent enough, and their counts (n, 256)."""
+    size = np.bincount(cells >> 8, n, minlength=len(names))
+    kept = np.flatnonzero(size >= least)
+    slot = np.full(len(names), -1)
+    slot[kept] = np.arange(len(kept))
+    mine = slot[cells >> 8] >= 0
+    counts = np.zeros((len(kept), 256))
+    np.add.at(counts, (slot[cells[mine] >> 8], cells[mine] & 255), n[mine])
+    return names[kept], counts
 
 
 def train(chunks: DataFrame, leaves: int = LEAVES) -> Tree:
-    """The tree of all training documents in ``chunks``."""
-    runs = chunks.select("held_out", "offsets", "data").mapInArrow(_runs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    nodes = F.array(*(F.struct(F.lit(d).alias("d"), F.expr(f"shiftright(code, 8) & {(1 << 8 * d) - 1}").alias("context")) for d in range(DEPTH + 1)))
-    counted = written(runs.select("n", F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), F.explode(nodes).alias("x")).groupBy("x.d", "x.context", "symbol").agg(F.sum("n").alias("n")))
-    total = counted.filter("d = 0").agg(F.sum("n")).first()[0] or 0
-    often = counted.groupBy("d", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1.0, total / leaves)).drop("all")
-    found = counted.join(F.broadcast(often), ["d", "context"]).toArrow()  # at most ``leaves`` contexts of each depth
-    d, context, symbol, n = (found.column(c).to_numpy() for c in ("d", "context", "symbol", "n"))
-    levels = []
-    for k in range(DEPTH + 1):
-        mine = d == k
-        if not mine.any():
-            break
-        names, at = np.unique(context[mine], return_inverse=True)
-        counts = np.zeros((len(names), 256), dtype=np.float32 if total < 1 << 24 else np.float64)
-        counts[at, symbol[mine]] = n[mine]
-        levels.append((names, counts))
-    return build(levels)
+    """The tree of all training documents in ``chunks``: one pass counts contexts of one
+    byte, then one for each depth those that can be frequent there. What a pass
+    sends to the driver is bounded by ``leaves`` contexts."""
+    texts = chunks.select("held_out", "offsets", "data")
 
+    def count(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows = texts.mapInArrow(_counted(known), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        return rows.column("cell").to_numpy(), rows.column("n").to_numpy()
 
-def _scored(sent, known_total: int, known_words: int, end_count: int, columns: list[str], kind: pa.DataType):
+    cells, n = count([])
+    least = max(1.0, n.sum() / leaves)
+    levels = []
+    for d in range(2):
+        byte, context = cells & 255, (cells >> 8) & ((1 << 8 * d) - 1)
+        levels.append(_level((context << 8) | byte, n, np.arange(1 << 8 * d), least))
+    for d in range(2, DEPTH + 1):
+        # a context of d bytes is as frequent as the run of its d - 1 older bytes and the newest, but for text ends
+        names, counts = levels[-1]
+        node, byte = np.nonzero(counts >= least)
+        fresh = np.sort((names[node] << 8) | byte)
+        fresh = fresh[np.isin(fresh & ((1 << 8 * (d - 1)) - 1), names)]
+        if not len(fresh):
+            break
+        known = []
+        for k in range(1, d + 1):
+            below, own = levels[k - 1][0], fresh if k == d else levels[k][0]
+            table = np.full((len(below), 256), -1, dtype=np.int32)
+            table[np.searchsorted(below, own & ((1 << 8 * (k - 1)) - 1)), own >> 8 * (k - 1)] = np.arange(len(own))
+            known.append(table)
+        cells, n = count(known)
+        levels.append(_level(cells, n, fresh, least))
+    return build([x for x in levels if len(x[0])] if len(levels[0][0]) else [])
+
+
+def _scored(sent, total: int, distinct: int, ends: int, columns: list[str], kind: pa.DataType):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, unpack = sent.value, zstandard.ZstdDecompressor()
-        below = np.log10(known_total + 0.1 * (known_words + 1))
+        tree = sent.value
+        below = float(np.log10(total + 0.1 * (distinct + 1)))
+        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         for part in parts:
             for row in range(part.num_rows):
-                ids, held, offsets, data, words, found = (part.column(k)[row] for k in range(6))
-                pairs = found.values.flatten() if found.is_valid else None
-                count = dict.fromkeys(words.as_py(), 0)
-                if pairs is not None:
-                    names = words.values.to_pylist()
-                    for i, c in zip(pairs[0].to_pylist(), pairs[1].to_pylist(), strict=True):
-                        count[names[i]] = c
-                values = {w.encode(): c for w, c in count.items()}
-                logs = {w: float(np.log10(c + 0.1) - below) for w, c in values.items()}
-                end = float(np.log10(end_count + 0.1) - below)
-                data, offsets = unpack.decompress(data.as_py()), offsets.as_py()
+                ids, held, offsets, data, found = (part.column(k)[row] for k in range(5))
+                texts = list(_texts(held.as_py(), offsets.as_py(), data.as_py()))
+                words = list(_vocabulary(texts))
+                counts = np.zeros(len(words), dtype=np.int64)
+                if found.is_valid:
+                    i, c = found.values.flatten()
+                    counts[i.to_numpy()] = c.to_numpy()
+                seen = dict(zip(words, (counts > 0).tolist(), strict=True))
+                logs = dict(zip(words, (np.log10(counts + 0.1) - below).tolist(), strict=True))
+                end = float(np.log10(ends + 0.1) - below)
                 out = []
-                for a, b, h in zip(offsets, offsets[1:], held.as_py(), strict=False):
-                    text = data[a:b]
+                for h, text in texts:
                     tokens = text.split()
-                    out.append((h, len(tokens) + 1, sum(values[t] > 0 for t in tokens) + (end_count > 0), known_total, sum(map(logs.__getitem__, tokens)) + end, tree.score(text), len(text)))
-                cols = list(zip(*out, strict=True))
-                bits = [-s / np.log10(2) / n if n else None for s, n in zip(cols[5], cols[6], strict=True)]
-                types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), kind), *(pa.array(c, t) for c, t in zip(cols[:6], types, strict=True)), pa.array(bits, pa.float64())], columns)
+                    s = tree.score(text)
+                    out.append((h, len(tokens) + 1, sum(map(seen.__getitem__, tokens)) + (ends > 0), total, sum(map(logs.__getitem__, tokens)) + end, s, -s / float(np.log10(2)) / len(text) if text else None))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), kind), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], columns)
 
     return run
 
@@ -314,17 +352,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks(chunk), f"chunk string, ids array<{kind}>, held_out array<boolean>, offsets array<long>, data binary, words array<string>, counts array<long>"))
-    spread = chunks.select("chunk", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    counts = written(spread.filter("x.counts > 0").groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")))
-    n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    chunks = written(rows.mapInArrow(_chunks(chunk), f"chunk long, ids array<{kind}>, held_out array<boolean>, offsets array<long>, data binary"))
+    words = chunks.select("chunk", "held_out", "offsets", "data").mapInArrow(_words, "chunk long, i int, h long, n long")
+    # a word has one row for each chunk that holds it, so no word is a hot key
+    same = Window.partitionBy("h")
+    counts = written(words.withColumn("c", F.sum("n").over(same)).withColumn("one", F.row_number().over(same.orderBy("chunk")) == 1).filter("c > 0").select("chunk", "i", "n", "c", "one"))
+    n, v = counts.agg(F.sum("n"), F.count_if("one")).first()
     ends = chunks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     total, distinct = (n or 0) + ends, v + (ends > 0)
-    wanted = chunks.select("chunk", F.posexplode("words").alias("i", "word"))
-    found = wanted.join(counts, "word").groupBy("chunk").agg(F.collect_list(F.struct("i", "c")).alias("found"))
+    found = counts.groupBy("chunk").agg(F.collect_list(F.struct("i", "c")).alias("found"))
     sent = docs.sparkSession.sparkContext.broadcast(train(chunks, leaves))
     out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    joined = chunks.drop("counts").join(found, "chunk", "left").select("ids", "held_out", "offsets", "data", "words", "found")
+    joined = chunks.join(found, "chunk", "left").select("ids", "held_out", "offsets", "data", "found")
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
