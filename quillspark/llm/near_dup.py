@@ -1,7 +1,7 @@
 """Near-duplicate groups by bottom-k sketches from one hash function.
 
 * A document's set is its distinct word shingles, as 64-bit hashes; its sketch is
-  the ``k`` smallest. Documents of equal sets are one class from the start.
+  the ``k`` smallest of their upper halves. Documents of equal sets are one class from the start.
 * Inverted lists: each two neighbours in a sketch's order make one key. Of two
   documents with the similarity asked for, two neighbouring values of their
   union's sketch are in both but for a chance of about 2e-7 at ``k`` = 48; for
@@ -15,7 +15,7 @@
 * A long list whose members are then in one group is done. In any other, the
   members outside the central one's group are compared with all members of other
   groups, block by block, so that no task holds more than two blocks of a list,
-  and only pairs that the union's sketch does not rule out are passed on.
+  and only pairs with enough values in both sketches are passed on.
 
 Defined results. A null or empty text, or one of white space only, has no set and
 is linked with nothing. A text with fewer words than a shingle has one shingle,
@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ from quillspark.llm.common import written
 from quillspark.llm.graph import components
 
 WORDS, THRESHOLD, K = 5, 75, 48
-SHORT, SIGMAS, BLOCK = 6, 4.5, 512
+SHORT, SIGMAS, BLOCK = 6, 4.5, 256
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
 FILTER_BITS = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -85,89 +84,109 @@ def _signatures(k: int, words: int):
                 found = shingle_set(x.as_py() or "", known, words)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sketches.append(found[:k])
+                sketches.append(np.unique((found >> 32).astype(np.int32))[:k])
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-            values = np.concatenate([*sketches, np.zeros(0, dtype=np.int64)])
+            values = np.concatenate([*sketches, np.zeros(0, dtype=np.int32)])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_shingles", "digest", "sketch"])
 
     return run
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """A row for each class and key: ``rep``, ``n``, ``key``."""
-    keys = F.zip_with(F.slice("sketch", F.lit(1), F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch") - 1), lambda a, b: F.xxhash64(a, b))
-    return reps.filter(F.size("sketch") > 1).select("rep", "n", F.explode(keys).alias("key"))
+    """A row for each class and key: ``rep``, ``key``."""
+    keys = F.expr("zip_with(slice(sketch, 1, size(sketch) - 1), slice(sketch, 2, size(sketch) - 1), (a, b) -> shiftleft(cast(a AS BIGINT), 32) | (b & 4294967295L))")
+    return reps.filter(F.size("sketch") > 1).select("rep", F.explode(keys).alias("key"))
 
 
-def _allowed(pairs: DataFrame, threshold: int) -> DataFrame:
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.filter("a != b").filter(100 * low >= threshold * high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def candidates(reps: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, lists)`` of classes (``rep``, ``n``, ``sketch``): the pairs ``a`` < ``b``
-    whose sizes allow the similarity, and the long lists (``key``, ``length``, ``hub``, ``rep``)."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, lists)`` of classes (``rep``, ``sketch``): pairs ``a`` < ``b`` to
+    estimate, and the long lists (``key``, ``length``, ``hub``, ``rep``)."""
     postings = _postings(reps)
     lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
     held = written(postings.join(lengths, "key"))
-    short = held.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("all"))
-    one = short.select("all", F.posexplode("all").alias("i", "x"))
-    few = one.select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("y")).select(F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("y.rep").alias("b"), F.col("y.n").alias("n_b"))
+    short = held.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("all"))
+    one = short.select("all", F.posexplode("all").alias("i", "a"))
+    few = one.select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("b"))
     long = held.filter(F.col("length") > SHORT)
     ranked = long.join(long.groupBy("rep").agg(F.count(F.lit(1)).alias("rank")), "rep")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("rep")).alias("back"), "n")).alias("hub"))
-    lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub"), F.col("hub.n").alias("n_hub")), "key"))
-    star = lists.select(F.col("hub").alias("a"), F.col("n_hub").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    return _allowed(few.unionByName(star), threshold).distinct(), lists.select("key", "length", "hub", "rep", "n")
-
-
-def _shared_share(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """The estimate of two sketches from the sketch of their union."""
-    u = np.union1d(x, y)[:k]
-    return len(np.intersect1d(np.intersect1d(u, x, assume_unique=True), y, assume_unique=True)) / len(u)
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("rep")).alias("back"))).alias("hub"))
+    lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub")), "key"))
+    star = lists.filter("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    return few.unionByName(star).distinct(), lists.select("key", "length", "hub", "rep")
 
 
 def completed(lists: DataFrame, groups: DataFrame, reps: DataFrame, threshold: int, k: int) -> DataFrame:
     """Pairs of long lists that may still join two groups: members outside the
     hub's group against all members of other groups, by blocks."""
     at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    placed = lists.join(at("rep"), "rep", "left").join(at("hub"), "hub", "left").select("key", "length", "rep", "n", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("main"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
-    members = written(placed.join(split, "key").join(reps.select("rep", "sketch"), "rep"))
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("blocks", blocks)
-    outside = dealt.filter("c != main").select("key", own.alias("i"), every.alias("j"), F.lit(True).alias("outside"), "rep", "n", "c", "sketch")
-    inside = dealt.select("key", every.alias("i"), own.alias("j"), F.lit(False).alias("outside"), "rep", "n", "c", "sketch")
+    placed = lists.join(at("rep"), "rep", "left").join(at("hub"), "hub", "left").select("key", "length", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("main"))
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count_if(F.col("c") != F.col("main")).alias("n_out")).filter("low != high").select("key", "n_out")
+    members = written(placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep"))
+    of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep"), of(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
+    outside = members.filter("c != main").select("key", own("n_out").alias("i"), every("length").alias("j"), F.lit(True).alias("outside"), "rep", "n", "c", "sketch")
+    inside = members.select("key", every("n_out").alias("i"), own("length").alias("j"), F.lit(False).alias("outside"), "rep", "n", "c", "sketch")
     t = threshold / 100
     floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, rest = pdf[pdf["outside"]], pdf[~pdf["outside"]]
-        found = []
-        if len(out) and len(rest):
-            wide = np.full((len(rest), k), np.iinfo(np.int64).max)
-            for r, s in enumerate(rest["sketch"]):
-                wide[r, : len(s)] = s
-            reps_, sizes, comps = (rest[c].to_numpy() for c in ("rep", "n", "c"))
-            for rep, n, c, s in zip(out["rep"], out["n"], out["c"], out["sketch"], strict=True):
-                both = np.isin(wide, s).sum(axis=1)
-                low, high = np.minimum(sizes, n), np.maximum(sizes, n)
-                # values in both sketches are at least as many as count for the estimate
-                likely = (comps != c) & (100 * low >= threshold * high) & (both >= floor * np.minimum(k, low))
-                for r in np.flatnonzero(likely):
-                    e = _shared_share(wide[r][wide[r] != np.iinfo(np.int64).max], np.asarray(s), k)
-                    if e >= floor:
-                        found.append((min(rep, reps_[r]), max(rep, reps_[r]), e))
-        return pd.DataFrame(found, columns=["a", "b", "estimate"])
-
-    return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(parts):
+            found = _likely(group, threshold, k, floor)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "estimate"])
+
+    tasks = outside.unionByName(inside).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = tasks.select("key", "i", "j", "outside", "rep", "n", "c", "sketch").mapInArrow(compare, "a long, b long, estimate double")
+    return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal (key, i, j) together; they come sorted. A group is two blocks at most."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for part in parts:
+        names = np.stack([part.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                name = tuple(names[a].tolist())
+                if held and name != last:
+                    yield pa.concat_batches(held)
+                    held = []
+                held.append(part.slice(a, b - a))
+                last = name
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _likely(group: pa.RecordBatch, threshold: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pairs of an outside and any other member that the values in both sketches do not
+    rule out: the union's sketch has no more of them."""
+    out = group.column(3).to_numpy(zero_copy_only=False)
+    if not out.any() or out.all():
+        return None
+    reps, sizes, comps = (group.column(c).to_numpy() for c in (4, 5, 6))
+    sketch = group.column(7)
+    ends = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
+    values = sketch.flatten().to_numpy()
+    _, at = np.unique(values, return_inverse=True)
+    held = np.zeros((len(reps), at.max() + 1), dtype=np.float32)
+    held[np.repeat(np.arange(len(reps)), np.diff(ends)), at] = 1
+    x, y = np.flatnonzero(out), np.flatnonzero(~out)
+    both = held[x] @ held[y].T
+    low, high = np.minimum.outer(sizes[x], sizes[y]), np.maximum.outer(sizes[x], sizes[y])
+    # values in both sketches are at least as many as count for the estimate
+    likely = (comps[x][:, None] != comps[y][None, :]) & (100 * low >= threshold * high) & (both >= floor * np.minimum(k, low))
+    p, q = np.nonzero(likely)
+    a, b = reps[x[p]], reps[y[q]]
+    return np.minimum(a, b), np.maximum(a, b), np.minimum(1.0, both[p, q] / np.minimum(k, low[p, q])).astype(np.float64)
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD, k: int = K) -> DataFrame:
     """Pairs that the union's sketch does not rule out, with the estimate."""
-    s = reps.select("rep", "sketch")
-    both = pairs.join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     union = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     share = union.select("a", "b", (F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u")).alias("estimate"))
     t = threshold / 100
@@ -187,15 +206,16 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
     """Pairs whose full sets have the similarity."""
-    bits = docs.sparkSession.createDataFrame([(_wanted(pairs).tobytes(),)], "bits binary")
-    h = F.xxhash64("rep").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    hit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(shiftright(h, 3) + 1 AS INT), 1)), 16, 10) AS INT), cast(h & 7 AS INT)) & 1 = 1")
-    texts = docs.withColumn("h", h).join(F.broadcast(bits)).filter(hit).select("rep", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+    texts = docs.select("rep", F.xxhash64("rep").alias("h"), "text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        bits = sent.value
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py() or "", known, words).tobytes() for x in part.column(1)], pa.binary())], ["rep", "s"])
+            h = part.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)
+            part = part.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py() or "", known, words).tobytes() for x in part.column(2)], pa.binary())], ["rep", "s"])
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -233,12 +253,12 @@ def _joined(pairs: DataFrame, texts: DataFrame, threshold: int, words: int, grou
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = WORDS, k: int = K) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = written(rows.mapInArrow(_signatures(k, words), "doc_id long, n_shingles long, digest binary, sketch array<long>"))
+    base = written(rows.mapInArrow(_signatures(k, words), "doc_id long, n_shingles long, digest binary, sketch array<int>"))
     classes = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     copies = written(classes.filter("size > 1").select("digest", "rep"))
     reps = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(copies, "digest", "left").filter("rep IS NULL OR doc_id = rep")
     reps = written(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"]))
-    pairs, lists = candidates(reps, threshold)
+    pairs, lists = candidates(reps)
     pairs = written(estimated(pairs, reps, threshold, k))
     texts = rows.withColumnRenamed("doc_id", "rep").filter("rep IS NOT NULL")
     groups = _joined(pairs, texts, threshold, words, components(pairs.limit(0).select("a", "b")))
@@ -256,3 +276,21 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id is its component's smallest, or null."""
     gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d
+), each AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.node = l.a
+)
+SELECT s.doc_id, len(sh) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
