@@ -6,10 +6,11 @@ has a Krichevsky-Trofimov estimate for each decision, and the weighted
 probability of a node is half its own estimate plus half the product of its
 children's, for all depths at once. Training adds up counts of byte runs over the
 whole corpus; the weights follow from the counts alone, so no order of the
-documents matters. A context is a node if it holds at least ``1 / LEAVES`` of the
-training bytes, all rarer continuations of a node being one more child, its rest.
-So the tree has at most ``LEAVES`` nodes of each depth at every size of the input,
-which bounds the broadcast table (see ``Tree``).
+documents matters. Every context that training has is a node, at every size of the
+input. So the tree has no bound and is never broadcast: each chunk's distinct contexts
+with the byte after them are summed over all chunks, whole subtrees are mixed in a
+task, and each chunk gets its own contexts' results back. What is broadcast are the
+weights of contexts of one byte and none.
 
 Beside it stands a word base: add-0.1 unigram probabilities. Word counts have no
 bound, so they are never broadcast: documents are packed into chunks, each chunk's
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
 
-DEPTH, LEAVES = 6, 1 << 16
+#: Bytes of a context; bytes of the contexts whose subtrees are mixed in one task.
+DEPTH, TOP = 6, 2
 #: Bytes of text in a chunk; bytes looked at together.
 CHUNK, STEP = 12 << 20, 1 << 20
 
@@ -79,7 +81,7 @@ def kt_next(counts: np.ndarray) -> np.ndarray:
 class Tree:
     """``step[node, byte]``: the next node if not negative, else the leaf ``-1 - step``.
     ``log10[leaf, symbol]``: log10 probability. 1 KB for each inner node and for each
-    leaf: with ``LEAVES`` nodes of each depth at most, 6 * 64 MB each at the very worst."""
+    leaf, so only for small trees; ``logs_of`` gives the same without holding one."""
 
     step: np.ndarray
     log10: np.ndarray
@@ -243,91 +245,201 @@ def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["chunk"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n)], ["chunk", "i", "h", "n"])
 
 
-def _counted(known: list[np.ndarray]):
-    """Counts of (context, next byte). ``known``: for each depth from 1 on, the table of
-    (node of the depth before, byte) -> node or -1; without any, all contexts of one byte."""
+def _keys(texts: list[bytes]) -> np.ndarray:
+    """Each byte of the texts with the ``DEPTH`` bytes before it, zeros standing before a
+    text's start, as an integer: the nearest of those highest, the byte itself lowest."""
+    x = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), dtype=np.uint8)
+    own = np.ones(len(x), dtype=bool)
+    for at in np.cumsum([0, *(DEPTH + len(t) for t in texts)])[:-1]:
+        own[at : at + DEPTH] = False
+    out = np.empty(int(own.sum()), dtype=np.int64)
+    done = 0
+    for k in range(0, len(x), STEP):
+        at = np.flatnonzero(own[k : k + STEP]) + k
+        key = x[at].astype(np.int64)
+        for d in range(1, DEPTH + 1):
+            key |= x[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
+        out[done : done + len(at)] = key
+        done += len(at)
+    return out
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (int(known[-1].max(initial=-1)) + 1 if known else 256) << 8
-        total = None
-        for part in parts:
-            for row in part.to_pylist():
-                texts = [bytes(DEPTH) + t for held, t in _texts(row["held_out"], row["offsets"], row["data"]) if not held and t]
-                x = np.frombuffer(b"".join(texts), dtype=np.uint8)
-                own = np.ones(len(x), dtype=bool)  # not the zeros put before a text
-                for at in np.cumsum([0, *map(len, texts)])[:-1]:
-                    own[at : at + DEPTH] = False
-                for k in range(0, len(x), STEP):
-                    at = (np.flatnonzero(own[k : k + STEP]) + k).astype(np.int32)
-                    node = x[at - 1].astype(np.int32) if not known else np.zeros(len(at), dtype=np.int32)
-                    for d, table in enumerate(known, 1):
-                        node = table[node, x[at - d]]
-                        node, at = node[node >= 0], at[node >= 0]
-                    found = np.bincount((node << 8) | x[at], minlength=size)
-                    total = found if total is None else np.add(total, found, out=total)
-        if total is not None and total.any():
-            cell = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(total[cell])], ["cell", "n"])
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts; ``keys`` are put in order."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    """One of 512 for each context of ``TOP`` bytes, so that whole subtrees stay together."""
+    return ((((gram >> (8 * (DEPTH + 1 - TOP))) * 40503) & 0xFFFF) >> 7).astype(np.int16)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, dtype=np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of each chunk by bucket, and how often training documents have them."""
+    for part in parts:
+        for row in part.to_pylist():
+            texts = list(_texts(row["held_out"], row["offsets"], row["data"]))
+            known, n = _distinct(_keys([t for held, t in texts if not held]))
+            keys = np.union1d(known, _distinct(_keys([t for held, t in texts if held]))[0])
+            counts = np.zeros(len(keys), dtype=np.int64)
+            counts[np.searchsorted(keys, known)] = n
+            bucket = _bucket(keys)
+            order = np.argsort(bucket, kind="stable")
+            keys, counts = keys[order], counts[order]
+            found, start = np.unique(bucket[order], return_index=True)
+            spans = list(zip(start, [*start[1:], len(keys)], strict=True)) if len(keys) else []
+            cols = ([row["chunk"]] * len(found), found.astype(np.int32), [_pack(np.diff(keys[i:j], prepend=0)) for i, j in spans], [_pack(counts[i:j]) for i, j in spans])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "grams", "n"])
+
+
+#: ``log_gamma`` of the first whole numbers and a half, and of those and one.
+_TABLED = 1 << 16
+_HALF, _WHOLE = log_gamma(np.arange(_TABLED) + 0.5), log_gamma(np.arange(_TABLED) + 1.0)
+
+
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Natural log of the KT probability of ``a`` zeros and ``b`` ones, whole numbers."""
+
+    def of(n: np.ndarray, add: float, known: np.ndarray) -> np.ndarray:
+        out = known[np.minimum(n, _TABLED - 1).astype(np.int64)]
+        big = n >= _TABLED
+        out[big] = log_gamma(n[big] + add)
+        return out
+
+    return of(a, 0.5, _HALF) + of(b, 0.5, _HALF) - of(a + b, 1.0, _WHOLE) - 1.1447298858494002  # log pi
+
+
+def _summed(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts over all chunks."""
+    waiting, size, done = [], 0, 0
+
+    def merge() -> list[tuple[np.ndarray, np.ndarray]]:
+        gram, n = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        order = np.argsort(gram, kind="stable")
+        gram, n = gram[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        return [(gram[first], np.add.reduceat(n, first))]
+
+    for pair in pairs:
+        waiting.append(pair)
+        size += len(pair[0])
+        if size > 2 * done + (1 << 20):
+            waiting = merge()
+            size = done = len(waiting[0][0])
+    return merge()[0]
+
+
+def _mixed(rows: pa.Table) -> pa.Table:
+    """Whole subtrees below contexts of ``TOP`` bytes. For each key of a bucket the
+    probabilities of its eight bits, mixed from depth ``DEPTH`` up to ``TOP``; for each decision
+    of a context of ``TOP`` bytes its counts and weighted probability, under the nearest byte."""
+    gram, n = _summed((np.cumsum(_unpack(g.as_py())), _unpack(c.as_py())) for g, c in zip(rows.column("grams"), rows.column("n"), strict=True))
+    bits = np.empty((len(gram), 8), dtype=np.float32)
+    tops = []
+    for level in range(8):
+        one = ((gram >> (7 - level)) & 1).astype(bool)
+        key = gram >> (8 - level)
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        pair, key = np.cumsum(fresh) - 1, key[fresh]
+        a, b = np.bincount(pair, np.where(one, 0, n)), np.bincount(pair, np.where(one, n, 0))
+        p, weighted, at = (b + 0.5) / (a + b + 1), log_kt(a, b), np.arange(len(key))
+        for _ in range(DEPTH - TOP):
+            key, up = np.unique((key >> (level + 8) << level) | (key & ((1 << level) - 1)), return_inverse=True)
+            a, b, below = np.bincount(up, a), np.bincount(up, b), np.bincount(up, weighted)
+            own = log_kt(a, b)
+            weighted = np.logaddexp(own, below) - np.log(2)
+            at = up[at]
+            ratio = np.exp(np.clip(own - below, -700, 700))
+            p = ((ratio * (b + 0.5) / (a + b + 1))[at] + p) / (1 + ratio[at])
+        bits[:, level] = np.where(one, p[pair], 1 - p[pair])
+        nearest = key >> (level + 8 * (TOP - 1))
+        tops.append((nearest * 255 + (1 << level) - 1 + (key & ((1 << level) - 1)), a, b, weighted))
+    decision, a, b, w = (np.concatenate(c) for c in zip(*tops, strict=True))
+    none = [None] * len(a)
+    cols = ([rows.column("bucket")[0].as_py()] * (len(a) + 1), [_pack(np.diff(gram, prepend=0)), *none], [bits.tobytes(), *none], *(pa.array([None, *x.tolist()]) for x in (decision, a, b, w)))
+    return pa.table([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), *[None] * 4), strict=True)], ["bucket", "grams", "bits", "decision", "a", "b", "w"])
+
+
+def _above(decision: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How a bit's probability from depth ``TOP`` is mixed with those of one and of no
+    byte: ``base[nearest, decision, bit] + slope[nearest, decision] * p``."""
+    a, b, below = (np.bincount(decision, c, minlength=256 * 255).reshape(256, 255) for c in (a, b, below))
+    own = log_kt(a, b)
+    r1 = np.exp(np.clip(own - below, -700, 700))
+    p1 = np.stack([a + 0.5, b + 0.5], axis=2) / (a + b + 1)[:, :, None]
+    below = (np.logaddexp(own, below) - np.log(2)).sum(axis=0)
+    a, b = a.sum(axis=0), b.sum(axis=0)
+    r0 = np.exp(np.clip(log_kt(a, b) - below, -700, 700))
+    p0 = np.stack([a + 0.5, b + 0.5], axis=1) / (a + b + 1)[:, None]
+    slope = 1 / ((1 + r1) * (1 + r0))
+    return (r0 / (1 + r0))[:, None] * p0 + (r1 * slope)[:, :, None] * p1, slope
+
+
+def _logs(sent):
+    def run(asked: pa.Table, mixed: pa.Table) -> pa.Table:
+        """Each chunk's keys of a bucket -> log10 probabilities, as bytes of floats."""
+        base, slope = sent.value
+        gram = np.cumsum(_unpack(mixed.column("grams")[0].as_py()))
+        bits = np.frombuffer(mixed.column("bits")[0].as_py(), dtype=np.float32).reshape(-1, 8)
+        nearest, logs = gram >> (8 * DEPTH), np.zeros(len(gram))
+        for level in range(8):
+            decision = (1 << level) - 1 + ((gram & 255) >> (8 - level))
+            logs += np.log10(base[nearest, decision, (gram >> (7 - level)) & 1] + slope[nearest, decision] * bits[:, level])
+        logs = logs.astype(np.float32)
+        out = [logs[np.searchsorted(gram, np.cumsum(_unpack(g.as_py())))].tobytes() for g in asked.column("grams")]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "s"])
 
     return run
 
 
-def _level(cells: np.ndarray, n: np.ndarray, names: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts frequent enough, and their counts (n, 256)."""
-    size = np.bincount(cells >> 8, n, minlength=len(names))
-    kept = np.flatnonzero(size >= least)
-    slot = np.full(len(names), -1)
-    slot[kept] = np.arange(len(kept))
-    mine = slot[cells >> 8] >= 0
-    counts = np.zeros((len(kept), 256))
-    np.add.at(counts, (slot[cells[mine] >> 8], cells[mine] & 255), n[mine])
-    return names[kept], counts
-
-
-def train(chunks: DataFrame, leaves: int = LEAVES) -> Tree:
-    """The tree of all training documents in ``chunks``: one pass counts contexts of one
-    byte, then one for each depth those that can be frequent there. What a pass
-    sends to the driver is bounded by ``leaves`` contexts."""
-    texts = chunks.select("held_out", "offsets", "data")
-
-    def count(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows = texts.mapInArrow(_counted(known), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        return rows.column("cell").to_numpy(), rows.column("n").to_numpy()
-
-    cells, n = count([])
-    least = max(1.0, n.sum() / leaves)
-    levels = []
-    for d in range(2):
-        byte, context = cells & 255, (cells >> 8) & ((1 << 8 * d) - 1)
-        levels.append(_level((context << 8) | byte, n, np.arange(1 << 8 * d), least))
-    for d in range(2, DEPTH + 1):
-        # a context of d bytes is as frequent as the run of its d - 1 older bytes and the newest, but for text ends
-        names, counts = levels[-1]
-        node, byte = np.nonzero(counts >= least)
-        fresh = np.sort((names[node] << 8) | byte)
-        fresh = fresh[np.isin(fresh & ((1 << 8 * (d - 1)) - 1), names)]
-        if not len(fresh):
-            break
-        known = []
-        for k in range(1, d + 1):
-            below, own = levels[k - 1][0], fresh if k == d else levels[k][0]
-            table = np.full((len(below), 256), -1, dtype=np.int32)
-            table[np.searchsorted(below, own & ((1 << 8 * (k - 1)) - 1)), own >> 8 * (k - 1)] = np.arange(len(own))
-            known.append(table)
-        cells, n = count(known)
-        levels.append(_level(cells, n, fresh, least))
-    return build([x for x in levels if len(x[0])] if len(levels[0][0]) else [])
-
-
-def _scored(sent, total: int, distinct: int, ends: int, columns: list[str], kind: pa.DataType):
+def logs_of(chunks: DataFrame) -> DataFrame:
+    """``chunk``, ``logs``: of each chunk's distinct keys, by bucket, the log10
+    probability of the byte after its context under the tree of all training documents."""
+    grams = chunks.select("chunk", "held_out", "offsets", "data").mapInArrow(_grams, "chunk long, bucket int, grams binary, n binary")
+    mixed = written(grams.select("bucket", "grams", "n").groupBy("bucket").applyInArrow(_mixed, "bucket int, grams binary, bits binary, decision long, a double, b double, w double"))
+    top = mixed.filter("decision IS NOT NULL").groupBy("decision").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()  # 256 * 255 rows at most
+    sent = chunks.sparkSession.sparkContext.broadcast(_above(*(top.column(k).to_numpy() for k in range(4))))
+    subtrees = mixed.filter("bits IS NOT NULL").select("bucket", "grams", "bits")
+    found = grams.select("chunk", "bucket", "grams").groupBy("bucket").cogroup(subtrees.groupBy("bucket")).applyInArrow(_logs(sent), "chunk long, bucket int, s binary")
+    return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "s")).alias("logs"))
+
+
+def _scores(texts: list[bytes], found: pa.Scalar) -> list[float]:
+    """log10 probability of each text of a chunk."""
+    keys = _keys(texts)
+    known = _distinct(keys.copy())[0]
+    sums = np.zeros(len(keys) + 1)
+    if found.is_valid:
+        bucket, s = found.values.flatten()
+        logs = np.empty(len(known), dtype=np.float32)
+        logs[np.argsort(_bucket(known), kind="stable")] = np.frombuffer(b"".join(s[k].as_py() for k in np.argsort(bucket.to_numpy())), dtype=np.float32)
+        for k in range(0, len(keys), STEP):
+            sums[k + 1 : k + 1 + STEP] = logs[np.searchsorted(known, keys[k : k + STEP])]
+        np.cumsum(sums, out=sums)
+    ends = np.cumsum([0, *map(len, texts)])
+    return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+
+
+def _scored(total: int, distinct: int, ends: int, columns: list[str], kind: pa.DataType):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
         below = float(np.log10(total + 0.1 * (distinct + 1)))
         types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         for part in parts:
             for row in range(part.num_rows):
-                ids, held, offsets, data, found = (part.column(k)[row] for k in range(5))
+                ids, held, offsets, data, found, logs_found = (part.column(k)[row] for k in range(6))
                 texts = list(_texts(held.as_py(), offsets.as_py(), data.as_py()))
+                scores = _scores([t for _, t in texts], logs_found)  # before the words take memory
                 words = list(_vocabulary(texts))
                 counts = np.zeros(len(words), dtype=np.int64)
                 if found.is_valid:
@@ -337,16 +449,15 @@ def _scored(sent, total: int, distinct: int, ends: int, columns: list[str], kind
                 logs = dict(zip(words, (np.log10(counts + 0.1) - below).tolist(), strict=True))
                 end = float(np.log10(ends + 0.1) - below)
                 out = []
-                for h, text in texts:
+                for (h, text), s in zip(texts, scores, strict=True):
                     tokens = text.split()
-                    s = tree.score(text)
                     out.append((h, len(tokens) + 1, sum(map(seen.__getitem__, tokens)) + (ends > 0), total, sum(map(logs.__getitem__, tokens)) + end, s, -s / float(np.log10(2)) / len(text) if text else None))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), kind), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], columns)
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, leaves: int = LEAVES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score``, ``score``, ``bits_per_byte`` (null for no bytes)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -361,10 +472,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     ends = chunks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     total, distinct = (n or 0) + ends, v + (ends > 0)
     found = counts.groupBy("chunk").agg(F.collect_list(F.struct("i", "c")).alias("found"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(chunks, leaves))
     out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    joined = chunks.join(found, "chunk", "left").select("ids", "held_out", "offsets", "data", "found")
+    joined = chunks.join(found, "chunk", "left").join(logs_of(chunks), "chunk", "left").select("ids", "held_out", "offsets", "data", "found", "logs")
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return joined.mapInArrow(_scored(sent, total, distinct, ends, out, to_arrow_type(docs.schema[id_col].dataType)), types)
+    return joined.mapInArrow(_scored(total, distinct, ends, out, to_arrow_type(docs.schema[id_col].dataType)), types)

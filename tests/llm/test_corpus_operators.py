@@ -308,6 +308,27 @@ def test_tree_learns_from_training_rows_only(spark):
     assert got[ids[0]] < 1.0 < 6.0 < got[ids[1]]
 
 
+def test_rare_contexts_are_nodes_at_every_size(spark):
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choices(["alpha", "beta", "gamma", "delta"], k=5000))) for k in range(12)] + [(k, "seldom quoted phrase") for k in range(12, 16)] + [(16, ""), (17, None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows.append((next(k for k in range(100, 200) if held(k)), "a seldom quoted phrase, zzz"))
+    counts = [defaultdict(lambda: np.zeros(256)) for _ in range(7)]
+    for i, t in rows:
+        x = bytes(6) + (t or "").encode()
+        for k in range(6, len(x) if not held(i) else 0):
+            for d in range(7):
+                counts[d][int.from_bytes(x[k - d : k], "big")][x[k]] += 1
+    total = sum(c.sum() for c in counts[0].values())
+    assert total / 65536 > 4  # a share of the corpus would drop the phrase
+    tree = context_tree.build([(np.array(list(c), dtype=np.int64), np.array(list(c.values()))) for c in counts])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in context_tree.score(df, chunk=50_000).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i] == pytest.approx(tree.score((t or "").encode()), rel=1e-4, abs=1e-6)
+
+
 # -- chat tree
 
 
