@@ -16,7 +16,7 @@ from quillspark.llm.common import table, written
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity grade is likelier above the lowest than not go."""
-    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"), toxicity.severity()))
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"), toxicity.severity())
     return toxicity.drop_toxic(docs, model)
 
 

@@ -24,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"), toxicity.severity()))
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"), toxicity.severity())
     return toxicity.score(docs, model)
 
 

@@ -3,8 +3,10 @@
 ``P(grade <= k) = logistic(threshold_k - w . x)``: one weight vector shared by all
 ordered thresholds. ``x`` marks which words and word beginnings a text has. The
 fit runs on the driver over a bounded sample of labelled rows (``PER_GRADE`` for
-each grade, chosen by hash); features are screened by a two-sample test on that
-sample, so the model is bounded by ``MAX_FEATURES`` as well. Scoring reads every
+each grade, chosen by hash); each row stands for as many of its grade as there are
+over those sampled, so that a probability means the same at every size. Features are
+screened by a two-sample test on that sample, so the model is bounded by
+``MAX_FEATURES`` as well. Scoring reads every
 whole text and never shuffles.
 
 Defined results. A null or empty text has no features and gets the grade of the
@@ -56,8 +58,9 @@ class Model:
         return np.diff(below, prepend=0.0, append=1.0)
 
 
-def fit(samples: list[tuple[int, list[str]]]) -> Model:
-    """Grades and feature lists -> model."""
+def fit(samples: list[tuple[int, list[str]]], stands_for: dict[int, float] | None = None) -> Model:
+    """Grades and feature lists -> model. ``stands_for``: how many labelled rows a
+    sampled one of each grade stands for; without it, one."""
     grades = sorted({g for g, _ in samples})
     if len(grades) < 2:
         return Model(grades or [0])
@@ -78,9 +81,11 @@ def fit(samples: list[tuple[int, list[str]]]) -> Model:
     rows = np.array([k for k, (_, names) in enumerate(samples) for f in names if f in at], dtype=np.int64)
     cols = np.array([at[f] for _, names in samples for f in names if f in at], dtype=np.int64)
     n, m, last = len(samples), len(kept), len(grades) - 1
-    weight = np.full(n, 1.0 / n)
+    taken = np.bincount(y, minlength=last + 1)
+    true = taken * np.array([(stands_for or {}).get(g, 1.0) for g in grades])
+    weight = (true / taken)[y] / true.sum()
     w = np.zeros(m)
-    share = np.cumsum(np.bincount(y, minlength=last + 1))[:-1] / n
+    share = np.cumsum(true)[:-1] / true.sum()
     theta = np.log(share / (1 - share))  # what the grades' shares alone give
     gaps = np.concatenate([theta[:1], np.log(np.diff(theta))]) if last > 1 else theta.copy()  # first threshold, then logs of the distances: always ordered
     state = [np.zeros(m), np.zeros(m), np.zeros(last), np.zeros(last)]
@@ -126,6 +131,13 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc
     return [(r.grade, r.names) for r in found.toLocalIterator()]
 
 
+def learned(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
+    """The model of a bounded sample, weighted by how many labelled documents each grade has."""
+    graded = labels.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade")).dropna()
+    stands_for = {r.grade: max(1.0, r.n / per_grade) for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).orderBy("grade").limit(16).collect()}
+    return fit(sample(docs, labels, grade, id_col, text_col, per_grade), stands_for)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``expected_severity``, ``grade`` (the
     likeliest), ``p_toxic`` (above the lowest grade), ``toxic``."""

@@ -167,3 +167,20 @@ def test_sample_is_bounded_and_repeatable(spark):
     labels = spark.createDataFrame([(k, 1, min(g, 1)) for k, (g, _) in enumerate(texts)], "doc_id long, quality int, toxic int")
     one, two = (sorted(toxicity.sample(d, labels, toxicity.severity(), per_grade=20)) for d in (docs, docs.repartition(5)))
     assert one == two and sorted(g for g, _ in one) == [0] * 20 + [1] * 20
+
+
+def test_sampling_one_grade_harder_keeps_the_cut(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(4000):
+        bad = rnd.random() < 0.1
+        words = rnd.choices([f"w{j}" for j in range(50)], k=20) + ["doubtful"] * (rnd.random() < (0.75 if bad else 0.15))
+        rows.append((k, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, bad) for k, _, bad in rows], "doc_id long, quality int, toxic int")
+    with_word = [(0, "doubtful"), (1, "w1 w2")]
+    asked = spark.createDataFrame(with_word, "doc_id long, text string")
+    whole, part = ({r.doc_id: r.p_toxic for r in toxicity.score(asked, toxicity.learned(docs, labels, toxicity.severity(), per_grade=n)).collect()} for n in (4000, 250))
+    unweighted = {r.doc_id: r.p_toxic for r in toxicity.score(asked, toxicity.fit(toxicity.sample(docs, labels, toxicity.severity(), per_grade=250))).collect()}
+    assert whole[0] < 0.5 and part[0] < 0.5 < unweighted[0]
+    assert abs(whole[0] - part[0]) < 0.1 and abs(whole[1] - part[1]) < 0.1
