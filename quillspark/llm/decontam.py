@@ -1,7 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Windows of a document have the length of a benchmark item and are aligned with it
-on at least one shingle that both have (a window without any has similarity 0).
+Windows of a document have the length of a benchmark item and begin at every word
+from which they can hold enough of its shingles, wherever those stand in the item: a
+window of similarity ``THRESHOLD`` has that share of the item's shingles at least, so
+those with fewer shared positions are not made.
 Each window and item gets a 64-bit SimHash of its shingles, weighted by how often
 they occur. The fingerprints are cut into ``RADIUS + 1`` blocks: two within
 ``RADIUS`` bits agree in one block at least, so an equi-join on the blocks (with
@@ -85,7 +87,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for k in lengths:
         named = named.withColumn(f"s{k}", shingles_of("w", k))
     listed = written(named.select("item_id", "n", "k", of_length.alias("sh")), 1)
-    places = listed.select("n", "k", F.posexplode("sh").alias("off", "h")).distinct()
+    places = listed.select("item_id", "n", "k", F.explode("sh").alias("h")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def shingled(df: DataFrame) -> DataFrame:
@@ -97,12 +99,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     every = F.concat(*(F.transform(f"s{k}", lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for k in lengths))
     spread = shingled(texts).select("doc_id", "words", F.explode(every).alias("p")).select("doc_id", "words", "p.pos", "p.h")
     hits = spread.join(_sized(places, places.count()), "h")
-    start = F.least(F.greatest(F.col("pos") - F.col("off"), F.lit(0)), F.greatest(F.col("words") - F.col("n"), F.lit(0)))
-    starts = written(hits.select("doc_id", "n", "k", start.alias("start")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("n", "k", "start")).alias("windows")))
+    near = hits.groupBy("doc_id", "words", "item_id", "n", "k").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    near = near.withColumn("need", F.expr(f"cast(ceil({THRESHOLD / (1 + THRESHOLD)} * (least(words, n) + n - 2 * k + 2) - 1e-6) AS INT)")).filter("size(at) >= need")
+    # every start whose window holds positions i to i + need - 1 for some i
+    low, high = "greatest(get(at, i + need - 1) - (n - k), 0)", "least(get(at, i), greatest(words - n, 0))"
+    start = F.expr(f"flatten(transform(filter(sequence(0, size(at) - need), i -> {low} <= {high}), i -> sequence({low}, {high})))")
+    starts = near.select("doc_id", "n", "k", F.explode(start).alias("start")).distinct()
+    starts = written(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "k", "start")).alias("windows")))
     held = starts.withColumnRenamed("doc_id", "__id")
     again = shingled(texts.join(_sized(held, held.count()), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id"))
     part = F.slice(of_length, F.col("start") + 1, F.greatest(F.col("n") - F.col("k") + 1, F.lit(1)))
-    windows = again.select("doc_id", *(f"s{k}" for k in lengths), F.explode("windows").alias("v")).select("doc_id", *(f"s{k}" for k in lengths), "v.*")
+    windows = again.select("doc_id", "words", *(f"s{k}" for k in lengths), F.explode("windows").alias("v")).select("doc_id", "words", *(f"s{k}" for k in lengths), "v.*").filter("start <= greatest(words - n, 0)")
     windows = _fingerprinted(windows.select("doc_id", "n", "start", part.alias("sh")).filter("size(sh) > 0"))
     index = _fingerprinted(listed).select("item_id", "n", "block", "bits", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh"))
     apart = "(fp ^ item_fp)"

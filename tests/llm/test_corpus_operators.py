@@ -183,6 +183,22 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contaminated(none, df).count() == 0 and decontam.contaminated(docs, df.limit(0)).count() == 0
 
 
+def test_decontamination_of_reordered_passages(spark):
+    w = lambda c, n: [f"{c}{k}" for k in range(n)]
+    a, b, c, long = w("a", 20), w("b", 20), w("c", 30), w("d", 120)
+    items = [(1, " ".join(a + b)), (2, " ".join(c)), (3, " ".join(long))]
+    rows = [
+        (1, " ".join(w("x", 60) + b + a + w("y", 60))), (2, " ".join(b + a)), (3, " ".join(w("x", 9) + a + w("y", 3) + b)), (4, " ".join(w("x", 7) + c + w("y", 5) + c[:28] + ["z", "z"])),
+        (5, " ".join(long[70:] + long[:70])), (6, " ".join(w("x", 40) + long[80:] + long[40:80] + long[:40] + w("y", 40))), (7, " ".join(long[:100])), (8, " ".join(c[15:] + c[:15])),
+        (9, " ".join(a + b)), (9, " ".join(w("x", 20) + b + a)), (10, " ".join(w("x", 30) + a)),
+    ]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs, df).collect()}
+    assert got == brute_leaks(rows, items)
+    assert {(1, 1), (5, 3), (6, 3)} <= got.keys()
+
+
 def test_blocks_cover_the_fingerprint():
     assert len(decontam.MASKS) == decontam.RADIUS + 1
     total = 0
