@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables of this process that nothing has released yet.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,20 +33,38 @@ def written(df: DataFrame, n_files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
     (df.coalesce(n_files) if n_files else df).write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` gave and that nothing reads again."""
+    for t in tables:
+        if spark := _written.pop(t.written_at, None):
+            _delete(spark, t.written_at)
 
 
 @atexit.register
 def _forget() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: nothing can be removed through it
             return
 
 
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, a written table of narrow rows, broadcast if it has no more than so many."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import release, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,7 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(joined.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
-        now, before = written(small), mark
+        last, now, before = now, written(small), mark
+        release(last)
         if (mark := _mark(now)) == before:
             break
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    out.written_at = now.written_at
+    return out

@@ -14,13 +14,22 @@
   promising pair, then all pairs that would still join two groups.
 * A long list whose members are then in one group is done. In any other, the
   members outside the central one's group are compared with all members of other
-  groups, block by block, so that no task holds more than two blocks of a list,
-  and only pairs with enough values in both sketches are passed on.
+  groups, block by block, so that no task holds more than two blocks of a list.
+  A pair is passed on by the smallest key it shares only, and only if the union's
+  sketch does not rule it out. Each class first gives its best pairs, one for each
+  other group before a second for any; once those are decided, classes that had more
+  give more of what is still apart, until none has any left. So what is passed on
+  grows with the classes, and yet no pair that could join two groups is left out.
+
+How sure it is: a pair of exactly the threshold's similarity falls below the estimate
+that is asked for (20 of 48 values) with a chance of 2e-7, and more similar pairs far
+more rarely. Links are decided on sets of 64-bit hashes of the shingles.
 
 Defined results. A null or empty text, or one of white space only, has no set and
 is linked with nothing. A text with fewer words than a shingle has one shingle,
 all its words. A null id has a null component and is linked with nothing; rows
-that repeat an id are the same document. Other columns are not read. No rows, no result.
+that repeat an id are one document, linked by the texts of any of them (``n_shingles``
+is each row's own). Other columns are not read. No rows, no result.
 """
 
 from __future__ import annotations
@@ -33,15 +42,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import few, release, written
 from quillspark.llm.graph import components
 
 WORDS, THRESHOLD, K = 5, 75, 48
-SHORT, SIGMAS, BLOCK = 6, 4.5, 256
+SHORT, SIGMAS, BLOCK = 6, 5.4, 1024
+#: Pairs that a class gives first, how many times as many it gives each time after, and columns and pairs looked at together.
+FIRST, MORE, STEP = 8, 8, 4096
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
 FILTER_BITS = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN = 1_000_000
+_KNOWN = 200_000
+_PAD = 1 << 40
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -99,46 +111,50 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, lists)`` of classes (``rep``, ``sketch``): pairs ``a`` < ``b`` to
-    estimate, and the long lists (``key``, ``length``, ``hub``, ``rep``)."""
+    """``(pairs, lists)`` of classes (``rep``, ``sketch``), both written: pairs ``a`` < ``b``
+    to estimate, and the long lists (``key``, ``length``, ``hub``, ``rep``)."""
     postings = _postings(reps)
     lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
     held = written(postings.join(lengths, "key"))
     short = held.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("all"))
     one = short.select("all", F.posexplode("all").alias("i", "a"))
-    few = one.select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("b"))
+    close = one.select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("b")).filter("a < b")
     long = held.filter(F.col("length") > SHORT)
     ranked = long.join(long.groupBy("rep").agg(F.count(F.lit(1)).alias("rank")), "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("rep")).alias("back"))).alias("hub"))
-    lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub")), "key"))
+    lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub")), "key").select("key", "length", "hub", "rep"))
     star = lists.filter("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    return few.unionByName(star).distinct(), lists.select("key", "length", "hub", "rep")
+    pairs = written(close.unionByName(star).distinct())
+    release(held)
+    return pairs, lists
 
 
-def completed(lists: DataFrame, groups: DataFrame, reps: DataFrame, threshold: int, k: int) -> DataFrame:
+def completed(lists: DataFrame, groups: DataFrame, reps: DataFrame, threshold: int, k: int, most: int) -> DataFrame:
     """Pairs of long lists that may still join two groups: members outside the
-    hub's group against all members of other groups, by blocks."""
+    hub's group against all members of other groups, by blocks. ``more`` marks the pairs
+    of a class that has more than the ``most`` it gives."""
     at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     placed = lists.join(at("rep"), "rep", "left").join(at("hub"), "hub", "left").select("key", "length", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("main"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count_if(F.col("c") != F.col("main")).alias("n_out")).filter("low != high").select("key", "n_out")
-    members = written(placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep"))
+    members = placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep")
     of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), of(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
-    outside = members.filter("c != main").select("key", own("n_out").alias("i"), every("length").alias("j"), F.lit(True).alias("outside"), "rep", "n", "c", "sketch")
-    inside = members.select("key", every("n_out").alias("i"), own("length").alias("j"), F.lit(False).alias("outside"), "rep", "n", "c", "sketch")
+    every = lambda n: F.sequence(F.lit(0), of(n) - 1)
+    # a member is in its own block of all, against each block of those outside; one outside the other way round as well
+    inside = F.transform(every("n_out"), lambda i: F.struct(i.alias("i"), own("length").alias("j"), F.lit(False).alias("outside")))
+    outside = F.transform(every("length"), lambda j: F.struct(own("n_out").alias("i"), j.alias("j"), F.lit(True).alias("outside")))
+    tasks = members.select("key", "rep", "n", "c", "sketch", F.explode(F.when(F.col("c") != F.col("main"), F.concat(inside, outside)).otherwise(inside)).alias("x"))
     t = threshold / 100
     floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(parts):
-            found = _likely(group, threshold, k, floor)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "estimate"])
+            if (found := _likely(group, threshold, k, floor, most)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "estimate", "more"])
 
-    tasks = outside.unionByName(inside).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = tasks.select("key", "i", "j", "outside", "rep", "n", "c", "sketch").mapInArrow(compare, "a long, b long, estimate double")
-    return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    dealt = tasks.select("key", "x.i", "x.j", "x.outside", "rep", "n", "c", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(compare, "a long, b long, estimate double, more boolean")
+    return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("more").alias("more"))
 
 
 def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,27 +176,76 @@ def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _likely(group: pa.RecordBatch, threshold: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Pairs of an outside and any other member that the values in both sketches do not
-    rule out: the union's sketch has no more of them."""
+def _common(rows: np.ndarray, x: np.ndarray, y: np.ndarray, pad: int = _PAD) -> np.ndarray:
+    """How many values each row of ``x`` shares with each of ``y``; ``rows`` are padded."""
+    at, cols = np.nonzero(rows != pad)
+    _, value, count = np.unique(rows[at, cols], return_inverse=True, return_counts=True)
+    fine = count[value] > 1
+    at, value = at[fine], (np.cumsum(count > 1) - 1)[value[fine]]
+    order = np.argsort(value, kind="stable")
+    at, value = at[order], value[order]
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for start in range(0, int(value[-1]) + 1 if len(value) else 0, STEP):
+        a, b = np.searchsorted(value, (start, start + STEP))
+        held = np.zeros((len(rows), STEP), dtype=np.float32)
+        held[at[a:b], value[a:b] - start] = 1
+        out += held[x] @ held[y].T
+    return out
+
+
+def _estimates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Share of the union's sketch that both sketches hold; padded, a row for each pair."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    fresh = np.concatenate([np.ones((len(both), 1), dtype=bool), ~again], axis=1)
+    kept = (np.cumsum(fresh, axis=1) <= k) & (both != _PAD)
+    return (again & kept[:, 1:]).sum(axis=1) / (fresh & kept).sum(axis=1)
+
+
+def _likely(group: pa.RecordBatch, threshold: int, k: int, floor: float, most: int) -> tuple[np.ndarray, ...] | None:
+    """Of each outside member, the best pairs with members of other groups that the union's
+    sketch does not rule out and that share no smaller key."""
     out = group.column(3).to_numpy(zero_copy_only=False)
     if not out.any() or out.all():
         return None
+    key = group.column(0)[0].as_py()
     reps, sizes, comps = (group.column(c).to_numpy() for c in (4, 5, 6))
-    sketch = group.column(7)
-    ends = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
-    values = sketch.flatten().to_numpy()
-    _, at = np.unique(values, return_inverse=True)
-    held = np.zeros((len(reps), at.max() + 1), dtype=np.float32)
-    held[np.repeat(np.arange(len(reps)), np.diff(ends)), at] = 1
+    ends = group.column(7).offsets.to_numpy()
+    counts = np.diff(ends)
+    rows = np.full((len(reps), k), _PAD, dtype=np.int64)
+    rows[np.repeat(np.arange(len(reps)), counts), np.arange(counts.sum()) - np.repeat(ends[:-1] - ends[0], counts)] = group.column(7).flatten().to_numpy()
+    keys = (rows[:, :-1] << 32) | (rows[:, 1:] & 0xFFFFFFFF)
+    keys = np.where((rows[:, 1:] != _PAD) & (keys < key), keys, key)
     x, y = np.flatnonzero(out), np.flatnonzero(~out)
-    both = held[x] @ held[y].T
     low, high = np.minimum.outer(sizes[x], sizes[y]), np.maximum.outer(sizes[x], sizes[y])
     # values in both sketches are at least as many as count for the estimate
-    likely = (comps[x][:, None] != comps[y][None, :]) & (100 * low >= threshold * high) & (both >= floor * np.minimum(k, low))
+    likely = (comps[x][:, None] != comps[y][None, :]) & (100 * low >= threshold * high)
+    likely &= _common(rows, x, y) >= floor * np.maximum.outer(counts[x], counts[y])
+    if not likely.any():
+        return None
+    likely &= _common(keys, x, y, key) == 0
     p, q = np.nonzero(likely)
+    if not len(p):
+        return None
+    estimate = np.concatenate([_estimates(rows[x[p[i : i + STEP]]], rows[y[q[i : i + STEP]]], k) for i in range(0, len(p), STEP)])
+    fine = estimate >= floor
+    p, q, estimate = p[fine], q[fine], estimate[fine]
+
+    def rank(*of: np.ndarray) -> np.ndarray:
+        """Place among the equal ones, of rows in order."""
+        first = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in of], axis=0)])
+        return np.arange(len(first)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+
+    if not len(p):
+        return None
+    order = np.lexsort((reps[y[q]], -estimate, comps[y[q]], p))
+    p, q, estimate = p[order], q[order], estimate[order]
+    order = np.lexsort((-estimate, rank(p, comps[y[q]]), p))
+    p, q, estimate = p[order], q[order], estimate[order]
+    given = rank(p) < most
+    more = np.bincount(p, minlength=len(x))[p] > most
     a, b = reps[x[p]], reps[y[q]]
-    return np.minimum(a, b), np.maximum(a, b), np.minimum(1.0, both[p, q] / np.minimum(k, low[p, q])).astype(np.float64)
+    return tuple(c[given] for c in (np.minimum(a, b), np.maximum(a, b), estimate, more))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD, k: int = K) -> DataFrame:
@@ -205,7 +270,7 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Pairs whose full sets have the similarity."""
+    """Pairs whose full sets have the similarity, written."""
     sent = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
     texts = docs.select("rep", F.xxhash64("rep").alias("h"), "text")
 
@@ -229,24 +294,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) ->
     full = written(texts.mapInArrow(sets, "rep long, s binary"))
     one = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
     two = one.join(full.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    return two.mapInArrow(compare, "a long, b long")
+    sure = written(two.mapInArrow(compare, "a long, b long"))
+    release(full)
+    return sure
 
 
-def _joined(pairs: DataFrame, texts: DataFrame, threshold: int, words: int, groups: DataFrame) -> DataFrame:
-    """``groups`` (node, component) after all ``pairs`` that hold: each class's most
-    promising pair first, then those that would still join two groups."""
+def _joined(pairs: DataFrame, texts: DataFrame, threshold: int, words: int, groups: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """``groups`` (node, component, written) after all ``pairs`` that hold: each class's most
+    promising pair first, then those that would still join two groups. Pairs ``tried``
+    are left out, and those tried now are added."""
     for first in (True, False):
-        if first:
-            chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
-        else:
-            at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-            apart = pairs.join(done, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-            chosen = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        done = written(chosen)
-        if done.isEmpty():
+        at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        apart = pairs.select("a", "b", "estimate")
+        for some in tried:
+            apart = apart.join(some, ["a", "b"], "left_anti")
+        apart = apart.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+        chosen = apart.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")) if first else apart
+        now = written(chosen.select("a", "b"))
+        tried.append(now)
+        if now.isEmpty():
             break
-        sure = _verified(done, texts, threshold, words)
-        groups = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(sure))
+        sure = _verified(now, texts, threshold, words)
+        before, groups = groups, components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(sure))
+        release(before, sure)
     return groups
 
 
@@ -256,15 +326,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = written(rows.mapInArrow(_signatures(k, words), "doc_id long, n_shingles long, digest binary, sketch array<int>"))
     classes = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     copies = written(classes.filter("size > 1").select("digest", "rep"))
-    reps = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(copies, "digest", "left").filter("rep IS NULL OR doc_id = rep")
-    reps = written(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"]))
+    classed = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(copies, "digest", "left")
+    reps = classed.filter("rep IS NULL OR doc_id = rep")
+    reps = written(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "digest", "sketch").dropDuplicates(["rep", "digest"]).drop("digest"))
+    # an id with texts of several classes joins them
+    own = classed.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    several = written(own.filter("a < b").select("doc_id"))
+    same = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.coalesce("rep", "doc_id").alias("b"))
+    groups = components(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs, lists = candidates(reps)
-    pairs = written(estimated(pairs, reps, threshold, k))
+    likely = written(estimated(pairs, reps, threshold, k))
+    release(pairs)
     texts = rows.withColumnRenamed("doc_id", "rep").filter("rep IS NOT NULL")
-    groups = _joined(pairs, texts, threshold, words, components(pairs.limit(0).select("a", "b")))
-    more = written(completed(lists, groups, reps, threshold, k))
-    if not more.isEmpty():
-        groups = _joined(more, texts, threshold, words, groups)
+    tried: list[DataFrame] = []
+    groups = _joined(likely, texts, threshold, words, groups, tried)
+    most = FIRST
+    while True:
+        found = written(completed(lists, groups, reps, threshold, k, most))
+        left = found.filter("more").isEmpty()
+        groups = _joined(found, texts, threshold, words, groups, tried)
+        release(found)
+        if left:
+            break
+        most *= MORE
+    release(likely, lists, reps, several, *tried)
     rep = F.coalesce("rep", "doc_id")
     classed = base.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").withColumn("rep", rep)
     found = classed.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -273,9 +358,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest, or null."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose id is its component's smallest, or null, with all their columns."""
+    gone = few(written(near_duplicates(docs, id_col, text_col).filter("NOT kept").select("doc_id").distinct()))
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
 
 
 ORACLE = r"""
