@@ -12,14 +12,14 @@
   similarity; pairs more than ``SIGMAS`` standard errors below the threshold go.
 * The rest is decided by exact Jaccard on the full sets: first each class's most
   promising pair, then all pairs that would still join two groups.
-* A long list whose members are then in one group is done. In any other, the
-  members outside the central one's group are compared with all members of other
-  groups, block by block, so that no task holds more than two blocks of a list.
-  A pair is passed on by the smallest key it shares only, and only if the union's
-  sketch does not rule it out. Each class first gives its best pairs, one for each
-  other group before a second for any; once those are decided, classes that had more
-  give more of what is still apart, until none has any left. So what is passed on
-  grows with the classes, and yet no pair that could join two groups is left out.
+* A long list whose members are then in one group is done. In any other, members of
+  different groups are compared, block by block, so that no task holds more than two
+  blocks of a list. Those members have wider sketches (``WIDE`` values, for most texts
+  the whole set), so that hardly a pair is passed on that is not similar. A pair is
+  passed on by the smallest key it shares only. Each class first gives its best pairs,
+  one for each other group before a second for any; once those are decided, classes
+  that had more give more of what is still apart, until none has any left. So what is
+  passed on grows with the classes, and no pair that could join two groups is left out.
 
 How sure it is: a pair of exactly the threshold's similarity falls below the estimate
 that is asked for (20 of 48 values) with a chance of 2e-7, and more similar pairs far
@@ -46,14 +46,18 @@ from quillspark.llm.common import few, release, written
 from quillspark.llm.graph import components
 
 WORDS, THRESHOLD, K = 5, 75, 48
-SHORT, SIGMAS, BLOCK = 6, 5.4, 1024
-#: Pairs that a class gives first, how many times as many it gives each time after, and columns and pairs looked at together.
-FIRST, MORE, STEP = 8, 8, 4096
+SHORT, SIGMAS, BLOCK = 6, 5.4, 2048
+#: Values of the sketches that members of long lists have; pairs that each gives first, and how many times as many each time after.
+WIDE, FIRST, MORE = 256, 8, 16
+#: Columns and pairs looked at together.
+STEP = 2048
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
 FILTER_BITS = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN = 200_000
 _PAD = 1 << 40
+#: Bytes of sets that are passed on together.
+_BYTES = 8 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -129,30 +133,31 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, lists
 
 
-def completed(lists: DataFrame, groups: DataFrame, reps: DataFrame, threshold: int, k: int, most: int) -> DataFrame:
-    """Pairs of long lists that may still join two groups: members outside the
-    hub's group against all members of other groups, by blocks. ``more`` marks the pairs
-    of a class that has more than the ``most`` it gives."""
-    at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    placed = lists.join(at("rep"), "rep", "left").join(at("hub"), "hub", "left").select("key", "length", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("main"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count_if(F.col("c") != F.col("main")).alias("n_out")).filter("low != high").select("key", "n_out")
-    members = placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep")
-    of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("rep"), of(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), of(n) - 1)
-    # a member is in its own block of all, against each block of those outside; one outside the other way round as well
-    inside = F.transform(every("n_out"), lambda i: F.struct(i.alias("i"), own("length").alias("j"), F.lit(False).alias("outside")))
-    outside = F.transform(every("length"), lambda j: F.struct(own("n_out").alias("i"), j.alias("j"), F.lit(True).alias("outside")))
-    tasks = members.select("key", "rep", "n", "c", "sketch", F.explode(F.when(F.col("c") != F.col("main"), F.concat(inside, outside)).otherwise(inside)).alias("x"))
+def _floor(threshold: int, k: int) -> float:
+    """Estimate from ``k`` values below which a pair is ruled out."""
     t = threshold / 100
-    floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
+    return t - SIGMAS * (t * (1 - t) / k) ** 0.5
+
+
+def completed(lists: DataFrame, groups: DataFrame, wide: DataFrame, threshold: int, k: int, most: int) -> DataFrame:
+    """Pairs of long lists that may still join two groups, by blocks. ``wide``: ``rep``,
+    ``n``, ``sketch`` of ``WIDE`` values. ``more`` marks the pairs of a class that has more
+    than the ``most`` it gives."""
+    node = groups.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    placed = lists.select("key", "length", "rep").join(node, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("key")
+    members = placed.join(split, "key").join(wide, "rep")
+    n = F.ceil(F.col("length") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), n).cast("int")
+    tasks = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = tasks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "sketch")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(parts):
-            if (found := _likely(group, threshold, k, floor, most)) is not None:
+            if (found := _likely(group, threshold, k, most)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "estimate", "more"])
 
-    dealt = tasks.select("key", "x.i", "x.j", "x.outside", "rep", "n", "c", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = dealt.mapInArrow(compare, "a long, b long, estimate double, more boolean")
     return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("more").alias("more"))
 
@@ -176,7 +181,7 @@ def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _common(rows: np.ndarray, x: np.ndarray, y: np.ndarray, pad: int = _PAD) -> np.ndarray:
+def _common(rows: np.ndarray, x: np.ndarray, y: np.ndarray, pad: int) -> np.ndarray:
     """How many values each row of ``x`` shares with each of ``y``; ``rows`` are padded."""
     at, cols = np.nonzero(rows != pad)
     _, value, count = np.unique(rows[at, cols], return_inverse=True, return_counts=True)
@@ -185,66 +190,81 @@ def _common(rows: np.ndarray, x: np.ndarray, y: np.ndarray, pad: int = _PAD) ->
     order = np.argsort(value, kind="stable")
     at, value = at[order], value[order]
     out = np.zeros((len(x), len(y)), dtype=np.float32)
-    for start in range(0, int(value[-1]) + 1 if len(value) else 0, STEP):
+    n = int(value[-1]) + 1 if len(value) else 0
+    for start in range(0, n, STEP):
         a, b = np.searchsorted(value, (start, start + STEP))
-        held = np.zeros((len(rows), STEP), dtype=np.float32)
+        held = np.zeros((len(rows), min(STEP, n - start)), dtype=np.float32)
         held[at[a:b], value[a:b] - start] = 1
         out += held[x] @ held[y].T
     return out
 
 
-def _estimates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Share of the union's sketch that both sketches hold; padded, a row for each pair."""
+def _estimates(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the union's sketch that both sketches hold, and the union's size up to
+    ``k``; padded, a row for each pair."""
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
     again = both[:, 1:] == both[:, :-1]
     fresh = np.concatenate([np.ones((len(both), 1), dtype=bool), ~again], axis=1)
-    kept = (np.cumsum(fresh, axis=1) <= k) & (both != _PAD)
-    return (again & kept[:, 1:]).sum(axis=1) / (fresh & kept).sum(axis=1)
+    kept = (np.cumsum(fresh, axis=1, dtype=np.int32) <= k) & (both != _PAD)
+    size = (fresh & kept).sum(axis=1)
+    return (again & kept[:, 1:]).sum(axis=1) / size, size
 
 
-def _likely(group: pa.RecordBatch, threshold: int, k: int, floor: float, most: int) -> tuple[np.ndarray, ...] | None:
-    """Of each outside member, the best pairs with members of other groups that the union's
+def _rank(*of: np.ndarray) -> np.ndarray:
+    """Place among the equal ones, of rows in order."""
+    first = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in of], axis=0)])
+    return np.arange(len(first)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
+def _likely(group: pa.RecordBatch, threshold: int, k: int, most: int) -> tuple[np.ndarray, ...] | None:
+    """Of each member, the best pairs with members of other groups that the union's
     sketch does not rule out and that share no smaller key."""
-    out = group.column(3).to_numpy(zero_copy_only=False)
-    if not out.any() or out.all():
-        return None
     key = group.column(0)[0].as_py()
-    reps, sizes, comps = (group.column(c).to_numpy() for c in (4, 5, 6))
+    twice = group.column(1)[0].as_py() != group.column(2)[0].as_py()
+    own, reps, sizes, comps = (group.column(c).to_numpy() for c in (3, 4, 5, 6))
     ends = group.column(7).offsets.to_numpy()
     counts = np.diff(ends)
-    rows = np.full((len(reps), k), _PAD, dtype=np.int64)
-    rows[np.repeat(np.arange(len(reps)), counts), np.arange(counts.sum()) - np.repeat(ends[:-1] - ends[0], counts)] = group.column(7).flatten().to_numpy()
+    wide = np.full((len(reps), max(k, int(counts.max()))), _PAD, dtype=np.int64)
+    wide[np.repeat(np.arange(len(reps)), counts), np.arange(counts.sum()) - np.repeat(ends[:-1] - ends[0], counts)] = group.column(7).flatten().to_numpy()
+    rows, counts = wide[:, :k], np.minimum(counts, k)
     keys = (rows[:, :-1] << 32) | (rows[:, 1:] & 0xFFFFFFFF)
     keys = np.where((rows[:, 1:] != _PAD) & (keys < key), keys, key)
-    x, y = np.flatnonzero(out), np.flatnonzero(~out)
+    x = np.flatnonzero(own == own.min())
+    y = np.flatnonzero(own == own.max()) if twice else x
+    if twice and own.min() == own.max():
+        return None
     low, high = np.minimum.outer(sizes[x], sizes[y]), np.maximum.outer(sizes[x], sizes[y])
-    # values in both sketches are at least as many as count for the estimate
     likely = (comps[x][:, None] != comps[y][None, :]) & (100 * low >= threshold * high)
-    likely &= _common(rows, x, y) >= floor * np.maximum.outer(counts[x], counts[y])
+    if not twice:
+        likely = np.triu(likely, 1)
+    if not likely.any():
+        return None
+    # values in both sketches are at least as many as count for the estimate
+    likely &= _common(rows, x, y, _PAD) >= _floor(threshold, k) * np.maximum.outer(counts[x], counts[y])
     if not likely.any():
         return None
     likely &= _common(keys, x, y, key) == 0
     p, q = np.nonzero(likely)
+    p, q = x[p], y[q]
+    estimate = np.zeros(len(p))
+    for sketch, size in ((rows, k), (wide, wide.shape[1])):
+        for i in range(0, len(p), STEP):
+            share, n = _estimates(sketch[p[i : i + STEP]], sketch[q[i : i + STEP]], size)
+            # a union that its sketch holds whole is known, but for equal halves of hashes
+            estimate[i : i + STEP] = np.where(share >= np.where(n < size, threshold / 100 - 0.02, _floor(threshold, size)), share, -1)
+        fine = estimate >= 0
+        p, q, estimate = p[fine], q[fine], estimate[fine]
     if not len(p):
         return None
-    estimate = np.concatenate([_estimates(rows[x[p[i : i + STEP]]], rows[y[q[i : i + STEP]]], k) for i in range(0, len(p), STEP)])
-    fine = estimate >= floor
-    p, q, estimate = p[fine], q[fine], estimate[fine]
-
-    def rank(*of: np.ndarray) -> np.ndarray:
-        """Place among the equal ones, of rows in order."""
-        first = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in of], axis=0)])
-        return np.arange(len(first)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-
-    if not len(p):
-        return None
-    order = np.lexsort((reps[y[q]], -estimate, comps[y[q]], p))
+    # both ways, so that each member gives its best
+    p, q, estimate = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([estimate] * 2)
+    order = np.lexsort((reps[q], -estimate, comps[q], p))
     p, q, estimate = p[order], q[order], estimate[order]
-    order = np.lexsort((-estimate, rank(p, comps[y[q]]), p))
+    order = np.lexsort((-estimate, _rank(p, comps[q]), p))
     p, q, estimate = p[order], q[order], estimate[order]
-    given = rank(p) < most
-    more = np.bincount(p, minlength=len(x))[p] > most
-    a, b = reps[x[p]], reps[y[q]]
+    given = _rank(p) < most
+    more = np.bincount(p, minlength=len(reps))[p] > most
+    a, b = reps[p], reps[q]
     return tuple(c[given] for c in (np.minimum(a, b), np.maximum(a, b), estimate, more))
 
 
@@ -254,13 +274,11 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD, k:
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     union = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     share = union.select("a", "b", (F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u")).alias("estimate"))
-    t = threshold / 100
-    return share.filter(F.col("estimate") >= t - SIGMAS * (t * (1 - t) / k) ** 0.5)
+    return share.filter(F.col("estimate") >= _floor(threshold, k))
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """Bits of the ids in ``pairs``; FILTER_BITS bound what comes to the driver."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids; FILTER_BITS bound what comes to the driver."""
     h = F.xxhash64("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     bit = F.expr("shiftleft(1L, cast(h & 63 AS INT))")
     rows = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
@@ -269,18 +287,36 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
     return found
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Pairs whose full sets have the similarity, written."""
-    sent = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+def _sets(ids: DataFrame, docs: DataFrame, words: int, k: int | None) -> DataFrame:
+    """Of the documents (``rep``, ``text``) with an id, and a few others: ``rep``, ``n`` and,
+    written, the sketch of ``k`` values (``sketch``) or else the whole set (``s``)."""
+    sent = docs.sparkSession.sparkContext.broadcast(_wanted(ids))
     texts = docs.select("rep", F.xxhash64("rep").alias("h"), "text")
+    kind = pa.list_(pa.int32()) if k else pa.binary()
 
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         bits = sent.value
         for part in parts:
             h = part.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)
             part = part.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py() or "", known, words).tobytes() for x in part.column(2)], pa.binary())], ["rep", "s"])
+            out, sizes, held = [], [], 0
+            for row, x in enumerate(part.column(2)):
+                found = shingle_set(x.as_py() or "", known, words)
+                sizes.append(len(found))
+                out.append(np.unique((found >> 32).astype(np.int32))[:k] if k else found.tobytes())
+                held += out[-1].nbytes if k else len(out[-1])
+                if held > _BYTES:
+                    yield pa.RecordBatch.from_arrays([part.column(0)[row + 1 - len(out) : row + 1], pa.array(sizes, pa.int64()), pa.array(out, kind)], names)
+                    out, sizes, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([part.column(0)[part.num_rows - len(out) :], pa.array(sizes, pa.int64()), pa.array(out, kind)], names)
+
+    names = ["rep", "n", "sketch" if k else "s"]
+    return written(texts.mapInArrow(run, f"rep long, n long, {'sketch array<int>' if k else 's binary'}"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
+    """Pairs whose full sets have the similarity, written."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -291,7 +327,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) ->
                 fine.append(100 * shared >= threshold * (len(x) + len(y) - shared))
             yield part.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    full = written(texts.mapInArrow(sets, "rep long, s binary"))
+    full = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, words, None)
     one = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
     two = one.join(full.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
     sure = written(two.mapInArrow(compare, "a long, b long"))
@@ -341,15 +377,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried: list[DataFrame] = []
     groups = _joined(likely, texts, threshold, words, groups, tried)
     most = FIRST
+    wide = _sets(lists.select(F.col("rep").alias("id")), texts, words, WIDE)
     while True:
-        found = written(completed(lists, groups, reps, threshold, k, most))
+        found = written(completed(lists, groups, wide, threshold, k, most))
         left = found.filter("more").isEmpty()
         groups = _joined(found, texts, threshold, words, groups, tried)
         release(found)
         if left:
             break
         most *= MORE
-    release(likely, lists, reps, several, *tried)
+    release(likely, lists, reps, several, wide, *tried)
     rep = F.coalesce("rep", "doc_id")
     classed = base.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").withColumn("rep", rep)
     found = classed.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
