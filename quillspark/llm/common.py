@@ -47,8 +47,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(*tables: DataFrame) -> None:
     """Removes tables that ``written`` gave and that nothing reads again."""
     for t in tables:
-        if spark := _written.pop(t.written_at, None):
-            _delete(spark, t.written_at)
+        at = getattr(t, "written_at", None)
+        if spark := _written.pop(at, None):
+            _delete(spark, at)
 
 
 @atexit.register

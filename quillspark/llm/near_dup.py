@@ -48,7 +48,7 @@ from quillspark.llm.graph import components
 WORDS, THRESHOLD, K = 5, 75, 48
 SHORT, SIGMAS, BLOCK = 6, 5.4, 2048
 #: Values of the sketches that members of long lists have; pairs that each gives first, and how many times as many each time after.
-WIDE, FIRST, MORE = 256, 8, 16
+WIDE, FIRST, MORE = 256, 32, 64
 #: Columns and pairs looked at together.
 STEP = 2048
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
@@ -114,9 +114,10 @@ def _postings(reps: DataFrame) -> DataFrame:
     return reps.filter(F.size("sketch") > 1).select("rep", F.explode(keys).alias("key"))
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, lists)`` of classes (``rep``, ``sketch``), both written: pairs ``a`` < ``b``
-    to estimate, and the long lists (``key``, ``length``, ``hub``, ``rep``)."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(pairs, lists, held)`` of classes (``rep``, ``sketch``): pairs ``a`` < ``b`` to
+    estimate, the long lists (``key``, ``length``, ``hub``, ``rep``), written, and the
+    written table that ``pairs`` are read from."""
     postings = _postings(reps)
     lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
     held = written(postings.join(lengths, "key"))
@@ -128,9 +129,7 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("rep")).alias("back"))).alias("hub"))
     lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub")), "key").select("key", "length", "hub", "rep"))
     star = lists.filter("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    pairs = written(close.unionByName(star).distinct())
-    release(held)
-    return pairs, lists
+    return close.unionByName(star).distinct(), lists, held
 
 
 def _floor(threshold: int, k: int) -> float:
@@ -336,24 +335,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) ->
 
 
 def _joined(pairs: DataFrame, texts: DataFrame, threshold: int, words: int, groups: DataFrame, tried: list[DataFrame]) -> DataFrame:
-    """``groups`` (node, component, written) after all ``pairs`` that hold: each class's most
-    promising pair first, then those that would still join two groups. Pairs ``tried``
-    are left out, and those tried now are added."""
-    for first in (True, False):
-        at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-        apart = pairs.select("a", "b", "estimate")
-        for some in tried:
-            apart = apart.join(some, ["a", "b"], "left_anti")
-        apart = apart.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-        chosen = apart.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")) if first else apart
-        now = written(chosen.select("a", "b"))
-        tried.append(now)
-        if now.isEmpty():
-            break
-        sure = _verified(now, texts, threshold, words)
-        before, groups = groups, components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(sure))
-        release(before, sure)
-    return groups
+    """``groups`` (node, component, written) after all ``pairs`` that hold and would still
+    join two groups. Pairs ``tried`` are left out, and those tried now are added."""
+    at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    apart = pairs.select("a", "b")
+    for some in tried:
+        apart = apart.join(some, ["a", "b"], "left_anti")
+    apart = apart.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    now = written(apart.select("a", "b"))
+    tried.append(now)
+    if now.isEmpty():
+        return groups
+    sure = _verified(now, texts, threshold, words)
+    out = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(sure))
+    release(groups, sure)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = WORDS, k: int = K) -> DataFrame:
@@ -369,24 +365,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = classed.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = written(own.filter("a < b").select("doc_id"))
     same = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.coalesce("rep", "doc_id").alias("b"))
-    groups = components(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs, lists = candidates(reps)
+    groups = docs.sparkSession.createDataFrame([], "node long, component long") if several.isEmpty() else components(same)
+    pairs, lists, held = candidates(reps)
     likely = written(estimated(pairs, reps, threshold, k))
-    release(pairs)
     texts = rows.withColumnRenamed("doc_id", "rep").filter("rep IS NOT NULL")
     tried: list[DataFrame] = []
     groups = _joined(likely, texts, threshold, words, groups, tried)
-    most = FIRST
-    wide = _sets(lists.select(F.col("rep").alias("id")), texts, words, WIDE)
-    while True:
-        found = written(completed(lists, groups, wide, threshold, k, most))
-        left = found.filter("more").isEmpty()
-        groups = _joined(found, texts, threshold, words, groups, tried)
-        release(found)
-        if left:
-            break
-        most *= MORE
-    release(likely, lists, reps, several, wide, *tried)
+    release(held, likely, reps, several)
+    if not lists.isEmpty():
+        most, wide = FIRST, _sets(lists.select(F.col("rep").alias("id")), texts, words, WIDE)
+        while True:
+            found = written(completed(lists, groups, wide, threshold, k, most))
+            more = not found.filter("more").isEmpty()
+            groups = _joined(found, texts, threshold, words, groups, tried)
+            release(found)
+            if not more:
+                break
+            most *= MORE
+        release(wide)
+    release(lists, *tried)
     rep = F.coalesce("rep", "doc_id")
     classed = base.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").withColumn("rep", rep)
     found = classed.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
