@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def pieces(parts: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose strings of column ``at`` have about so many bytes
+    (at least a row), so that what a worker holds beside a batch does not grow with it."""
+    for part in parts:
+        ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(part.column(at)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < part.num_rows:
+            stop = max(start + 1, int(ends.searchsorted((ends[start - 1] if start else 0) + size, side="right")))
+            yield part.slice(start, stop - start)
+            start = stop
+        if not part.num_rows:
+            yield part

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import few, written
 
 WORDS, THRESHOLD, RADIUS = 5, 0.75, 23
 #: Rows up to which a table is broadcast; beyond it the same join shuffles.
@@ -121,6 +121,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    found = written(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(_sized(found, found.count()), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    gone = few(written(contaminated(docs, items, id_col, text_col).select("doc_id").distinct()))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")

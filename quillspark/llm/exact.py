@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE, written
+from quillspark.llm.common import SPACE, few, written
 
 #: Share of the rows from which a digest counts as frequent; bounds the broadcast to 1 / SUPPORT rows.
 SUPPORT = 1e-4
@@ -59,11 +59,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that repeat
-    both id and text count as one row, whatever their other columns hold."""
-    key = lambda i, digest: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), digest)
-    stay = exact_dedup(docs, id_col, text_col, support).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    keyed = docs.withColumn("__key", key(F.col(id_col), text_digest(F.col(text_col))))
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    both id and text count as one row, whatever their other columns hold. Whole rows
+    are not shuffled: the few that go are named by id and digest."""
+    found = exact_dedup(docs, id_col, text_col, support).filter("NOT kept")
+    gone = written(found.select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct())
+    digest = text_digest(docs[text_col])
+
+    def named(these: DataFrame) -> Column:
+        # the digest is made of rows with such an id alone
+        return docs[id_col].eqNullSafe(these["doc_id"]) & (digest == these["text_sha256"])
+
+    others = gone.filter("NOT again")
+    out = docs.join(few(others), named(others), "left_anti")
+    again = gone.filter("again")
+    if again.isEmpty():
+        return out
+    twice = out.join(few(again), named(again), "left_semi")
+    held = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col(f"`{id_col}`"), text_digest(F.col(f"`{text_col}`")))
+    one = twice.select(key.alias("k"), F.struct(*held).alias("v")).groupBy("k").agg(F.first("v").alias("v")).select("v.*")
+    return out.join(few(again), named(again), "left_anti").unionByName(one)
 
 
 ORACLE = r"""

@@ -31,12 +31,15 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspark.llm.common import pieces
+
 MARK = "▁"
 #: Words and pairs that one process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _loaded: dict[str, Codec] = {}
 
@@ -197,7 +200,7 @@ def _batches(path: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
         first, last = array("I", [use.bos]).tobytes(), array("I", [use.eos]).tobytes()
-        for part in parts:
+        for part in pieces(parts, 1):
             sizes, shas, back = [], [], []
             for x in part.column(1):
                 data = first + use.packed(x.as_py() or "") + last
@@ -225,9 +228,13 @@ def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
-        for part in parts:
-            ids = [[use.bos, *use.encode(x.as_py() or ""), use.eos] for x in part.column(at)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([use.decode(x) for x in ids], pa.string())], [*kept, ids_col, decoded_col])
+        first, last = array("I", [use.bos]).tobytes(), array("I", [use.eos]).tobytes()
+        for part in pieces(parts, at):
+            ids = [np.frombuffer(first + use.packed(x.as_py() or "") + last, dtype=np.int32) for x in part.column(at)]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, dtype=np.int32)]))
+            back = pa.array((use.decode(x.tolist()) for x in ids), pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, listed, back], [*kept, ids_col, decoded_col])
 
     from pyspark.sql import types as T
 

@@ -28,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import pieces
+
 #: Labelled rows of each grade that the fit reads at most; features kept at most; share of the sample that a feature must be in (five documents at least).
 PER_GRADE, MAX_FEATURES, MIN_SHARE = 3_000, 20_000, 0.003
 #: Standard errors by which a feature's share must differ between the grades; strength of the penalty; steps of the fit.
 SCREEN, PENALTY, STEPS = 4.5, 1e-4, 600
 #: Lengths of the word beginnings used as features.
 BEGINNINGS = (5, 6)
+#: Words whose features a task remembers.
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -115,7 +119,7 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc
     """Up to ``per_grade`` labelled documents of each grade, those of the smallest hashes."""
     graded = labels.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade")).dropna()
     chosen = None
-    for (g,) in graded.select("grade").distinct().orderBy("grade").limit(16).collect():
+    for (g,) in graded.select("grade").distinct().orderBy("grade").collect():
         some = graded.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
@@ -134,10 +138,32 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc
 def learned(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
     """The model of a bounded sample, weighted by how many labelled documents each grade has."""
     graded = labels.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade")).dropna()
-    stands_for = {r.grade: max(1.0, r.n / per_grade) for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).orderBy("grade").limit(16).collect()}
+    stands_for = {r.grade: max(1.0, r.n / per_grade) for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     return fit(sample(docs, labels, grade, id_col, text_col, per_grade), stands_for)
 
 
+class Judge:
+    """Grades of texts under a model; the features of words already met are remembered."""
+
+    def __init__(self, model: Model):
+        self.model, self.values, self.known = model, np.array(model.grades), {}
+
+    def __call__(self, text: str) -> tuple[float, int, float, bool]:
+        weights, found = self.model.weights, set()
+        for word in words_of(text):
+            names = self.known.get(word)
+            if names is None:
+                names = tuple(f for f in features_of(word) if f in weights)
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.known[word] = names
+            if names:
+                found.update(names)
+        p = self.model.probabilities(sum(weights[f] for f in sorted(found)))
+        high = float(p[1:].sum()) if self.values[0] <= 0 else 1.0
+        return round(float(p @ self.values), 6), int(self.values[p.argmax()]), round(high, 6), high >= 0.5
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``expected_severity``, ``grade`` (the
     likeliest), ``p_toxic`` (above the lowest grade), ``toxic``."""
@@ -145,26 +171,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        weights, known = model.weights, {}
-        values = np.array(model.grades)
-        for part in parts:
-            out = []
-            for x in part.column(1):
-                found: set[str] = set()
-                for word in words_of(x.as_py() or ""):
-                    names = known.get(word)
-                    if names is None:
-                        names = tuple(f for f in features_of(word) if f in weights)
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[word] = names
-                    if names:
-                        found.update(names)
-                p = model.probabilities(sum(weights[f] for f in sorted(found)))
-                high = float(p[1:].sum()) if values[0] <= 0 else 1.0
-                out.append((round(float(p @ values), 6), int(values[p.argmax()]), round(high, 6), high >= 0.5))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
+        judge = Judge(sent.value)
+        for part in pieces(parts, 1):
+            cols = list(zip(*(judge(x.as_py() or "") for x in part.column(1)), strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -177,14 +186,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for part in parts:
-            clean = []
-            for x in part.column(at):
-                found = {f for w in words_of(x.as_py() or "") for f in features_of(w) if f in model.weights}
-                p = model.probabilities(sum(model.weights[f] for f in sorted(found)))
-                clean.append(bool((p[1:].sum() if model.grades[0] <= 0 else 1.0) < 0.5))
-            yield part.filter(pa.array(clean, pa.bool_()))
+        judge = Judge(sent.value)
+        for part in pieces(parts, at):
+            yield part.filter(pa.array([not judge(x.as_py() or "")[3] for x in part.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
