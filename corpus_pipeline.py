@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, exact, near_dup, spm, toxicity
-from quillspark.llm.common import table, written
+from quillspark.llm.common import release, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,14 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, begin and end included, and a digest of what they decode to."""
+    """Token ids of each text, begin and end included, and a digest of what they decode
+    to; all other columns but the text stay."""
     import public_tokenizers
 
+    made = ("n_tokens", "ids", "decoded_sha256")
     coded = spm.encode_table(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "decoded", *made)]
+    return coded.select(*rest, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -58,7 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            release(before)
     return docs
