@@ -3,9 +3,12 @@
 Three base patterns are matched as stated (``BASE``). Beyond them, the text is
 lexed around its assignment operators (``=``, ``:``, ``:=``, ``=>``) as source code
 or configuration: a target name on the left (bare, quoted, subscripted, or with a
-type annotation between), and on the right a sum of string literals, references
-and bare values. References are resolved by propagating constants, also from
-later lines and over several steps. A literal that reaches a sensitive name is
+type annotation between), and on the right a sum of string literals (prefixed, triple,
+in parentheses or continued on the next line too), references
+and bare values; a bare value ends where the next assignment's operator stands. References
+are resolved by propagating constants, also from later lines and over any number of
+steps; a constant used twice in a sum counts once, and one that refers to itself has
+what else it is made of. A literal that reaches a sensitive name is
 scored by the name's words and its own shape; those from ``THRESHOLD`` up are
 reported as kind ``literal``.
 
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import pieces
+
 #: Kinds in the order in which spans of equal starts are listed.
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -47,8 +52,10 @@ THRESHOLD = 0.75
 _OPERATOR = re.compile(r":=|=>|[=:]")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*", re.ASCII)
-_BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
-_QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
+#: ``:`` and ``=`` belong to a bare value only at its end or, ``:``, before a slash.
+_BARE = re.compile(r"(?:[^\s,;\"'`(){}\[\]<>:=]|:(?=/)|[:=]++(?![^\s,;\"'`(){}\[\]<>]))+")
+_QUOTED = re.compile(r"[rbufRBUF]{0,2}(?:\"{3}((?:[^\"\\]|\\.|\"{1,2}(?!\"))*+)\"{3}|'{3}((?:[^'\\]|\\.|'{1,2}(?!'))*+)'{3}|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)", re.DOTALL)
+_GAP = re.compile(r"(?:[ \t]|\\\n|\(\s*)*+")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.-")
 
 
@@ -89,20 +96,17 @@ def _terms(text: str, at: int) -> list[tuple[str, str, int, int]]:
     """What is added up right of an operator: ('quoted' | 'bare' | 'name', content, start, end)."""
     found = []
     while True:
-        while at < len(text) and text[at] in " \t":
-            at += 1
+        at = _GAP.match(text, at).end()
         if m := _QUOTED.match(text, at):
-            k = m.lastindex or 1
-            found.append(("quoted", m[k] or "", *m.span(k)))
+            k = m.lastindex
+            found.append(("quoted", m[k], *m.span(k)))
         elif m := _BARE.match(text, at):
             word = m[0].rstrip(".:")
             kind = "name" if _NAME.fullmatch(word) else "bare"
             found.append((kind, word, m.start(), m.start() + len(word)))
         else:
             return found
-        at = m.end()
-        while at < len(text) and text[at] in " \t":
-            at += 1
+        at = _GAP.match(text, m.end()).end()
         if not (at < len(text) and text[at] == "+"):
             return found
         at += 1
@@ -141,16 +145,23 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     for k, (name, _) in enumerate(assigned):
         by_name.setdefault(name, []).append(k)
 
-    def constant(k: int, seen: frozenset[int]) -> list[tuple[str, int, int, bool]]:
-        """The literals that the k-th assignment comes to."""
-        out = []
-        for kind, content, start, end in assigned[k][1]:
+    def constant(k: int) -> list[tuple[str, int, int, bool]]:
+        """The literals that the k-th assignment comes to, each once, in order."""
+        out, seen, todo = [], {k}, [(k, iter(assigned[k][1]))]
+        while todo:
+            k, terms = todo[-1]
+            term = next(terms, None)
+            if term is None:
+                todo.pop()
+                continue
+            kind, content, start, end = term
             if kind == "name" and content in by_name and content != assigned[k][0]:
                 own = by_name[content]
                 at = own[max(0, bisect_left(own, k) - 1)]  # the last one before, else the first
-                if at not in seen and len(seen) < 16:
-                    out += constant(at, seen | {at})
-                    continue
+                if at not in seen:
+                    seen.add(at)
+                    todo.append((at, iter(assigned[at][1])))
+                continue
             out.append((content, start, end, kind == "quoted"))
         return out
 
@@ -159,7 +170,7 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
         weight = _sensitivity(name)
         if weight <= 0:
             continue
-        parts = constant(k, frozenset([k]))
+        parts = constant(k)
         score = weight * 0.6 + 0.5 * _shape("".join(p[0] for p in parts), any(p[3] for p in parts)) if parts else 0.0
         if score >= THRESHOLD + 0.1 * (weight < 0.9):
             found += [("literal", start, end, name, round(score, 4)) for content, start, end, _ in parts if content]
@@ -178,7 +189,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 
 
 def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in pieces(parts, 1):
         rows = [[dict(zip(("kind", "start", "end", "name", "score"), s, strict=True)) for s in secrets(x.as_py() or "")] for x in part.column(1)]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(_SPAN))], ["doc_id", "spans"])
 

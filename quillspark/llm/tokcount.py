@@ -27,6 +27,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspark.llm.common import pieces
+
 #: Bytes: chunk size and first overlap.
 CHUNK, OVERLAP = 32_768, 256
 #: The pre-tokenizer's published pattern (fixed value).
@@ -40,7 +42,8 @@ class Encoder:
 
     Its vocabulary and special strings are read from the file and run by
     ``tiktoken``'s encoder, which gives the same tokens five times as fast. Only
-    files of this one kind are accepted.
+    files of this one kind are accepted. Runs of white space too long for its pattern
+    (some 600,000 characters) are left to the library itself.
     """
 
     def __init__(self, path: str):
@@ -54,12 +57,22 @@ class Encoder:
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*shown}))}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(map(byte_of.__getitem__, t)): k for t, k in spec["model"]["vocab"].items() if t not in special}
+        self._path, self._library = path, None
         self.margin = max([3, *map(len, special)]) + 4
         self._encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._length = {k: len(t) for t, k in ranks.items()} | {k: len(t.encode()) for t, k in special.items()}
 
     def ids(self, text: str) -> list[int]:
-        return self._encoding.encode(text, allowed_special="all", disallowed_special=())
+        try:
+            return self._encoding.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # its pattern's stack is full
+            if self._library is None:
+                from tokenizers import Tokenizer
+
+                self._library = Tokenizer.from_file(self._path)
+                self._library.no_truncation()
+                self._library.no_padding()
+            return self._library.encode(text, add_special_tokens=False).ids
 
     def text(self, ids: list[int]) -> str:
         return self._encoding.decode(ids, errors="strict")
@@ -131,7 +144,7 @@ def count_tokens(text: str, enc: Encoder, chunk: int = CHUNK, overlap: int = OVE
 def _batches(path: str, chunk: int, overlap: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for part in parts:
+        for part in pieces(parts, 1):
             sizes, counts = [], []
             for x in part.column(1):
                 text = x.as_py() or ""
