@@ -5,9 +5,10 @@ from which they can hold enough of its shingles, wherever those stand in the ite
 window of similarity ``THRESHOLD`` has that share of the item's shingles at least, so
 those with fewer shared positions are not made.
 Each window and item gets a 64-bit SimHash of its shingles, weighted by how often
-they occur. The fingerprints are cut into ``RADIUS + 1`` blocks: two within
-``RADIUS`` bits agree in one block at least, so an equi-join on the blocks (with
-the item's length) finds all of them. Candidates are decided by the exact
+they occur. The fingerprints are cut into ``BLOCKS`` blocks: two within ``RADIUS`` bits
+differ by at most ``FLIPS`` bits in one block at least. So an index of the items' blocks
+with up to so many bits flipped, joined on equal blocks (and the item's length), finds
+all pairs within the radius, and about one in five of unlike ones. Candidates are decided by the exact
 weighted similarity: the sum of the smaller counts over the sum of the larger.
 
 Everything is DataFrame and SQL functions. Words are runs of letters and digits in
@@ -21,24 +22,34 @@ reported. Other columns are not read. Without items or documents the result is e
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import few, written
 
-WORDS, THRESHOLD, RADIUS = 5, 0.75, 23
+WORDS, THRESHOLD, RADIUS = 5, 0.75, 17
+BLOCKS = 6
+#: Bits that differ in the closest block of two fingerprints within the radius, at most.
+FLIPS = RADIUS // BLOCKS
 #: Rows up to which a table is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
 
 
-def _blocks(n: int = RADIUS + 1) -> list[int]:
-    """Masks of the fingerprint's blocks, as signed 64-bit integers."""
-    edges = [64 * k // n for k in range(n + 1)]
-    masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: Masks of the fingerprint's blocks, as signed 64-bit integers.
+_EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+MASKS = [_signed((1 << b) - (1 << a)) for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
 
 
-MASKS = _blocks()
+def _flips(block: int) -> list[int]:
+    """Every choice of up to ``FLIPS`` bits of a block."""
+    bits = range(_EDGES[block], _EDGES[block + 1])
+    return [_signed(sum(1 << b for b in some)) for n in range(FLIPS + 1) for some in combinations(bits, n)]
 
 
 def words_of(text: Column) -> Column:
@@ -86,7 +97,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     of_length = F.expr("CASE k " + " ".join(f"WHEN {k} THEN s{k}" for k in lengths) + " END")
     for k in lengths:
         named = named.withColumn(f"s{k}", shingles_of("w", k))
-    listed = written(named.select("item_id", "n", "k", of_length.alias("sh")), 1)
+    listed = written(named.select(F.monotonically_increasing_id().alias("item"), "item_id", "n", "k", of_length.alias("sh")), 1)
     places = listed.select("item_id", "n", "k", F.explode("sh").alias("h")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -111,10 +122,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     part = F.slice(of_length, F.col("start") + 1, F.greatest(F.col("n") - F.col("k") + 1, F.lit(1)))
     windows = again.select("doc_id", "words", *(f"s{k}" for k in lengths), F.explode("windows").alias("v")).select("doc_id", "words", *(f"s{k}" for k in lengths), "v.*").filter("start <= greatest(words - n, 0)")
     windows = _fingerprinted(windows.select("doc_id", "n", "start", part.alias("sh")).filter("size(sh) > 0"))
-    index = _fingerprinted(listed).select("item_id", "n", "block", "bits", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh"))
+    values = ", ".join(f"({k}, CAST('{x}' AS BIGINT))" for k in range(BLOCKS) for x in _flips(k))
+    flips = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(block, flip)")
+    prints = _fingerprinted(listed).withColumnRenamed("fp", "item_fp")
+    index = prints.join(F.broadcast(flips), "block").select("item", "n", "block", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"), "item_fp")
     apart = "(fp ^ item_fp)"
-    first = f"array_position(transform(array({', '.join(f'{m}L' if m > -(1 << 63) else f'shiftleft(1L, 63)' for m in MASKS)}), m -> {apart} & m = 0), true) = block + 1"
-    near = windows.join(_sized(index, listed.count() * len(MASKS)), ["n", "block", "bits"]).filter(f"bit_count({apart}) <= {RADIUS}").filter(first)
+    # found by several blocks, a pair counts for the first
+    masks = ", ".join(f"{m}L" if m > -(1 << 63) else "shiftleft(1L, 63)" for m in MASKS)
+    first = f"array_position(transform(array({masks}), m -> bit_count({apart} & m) <= {FLIPS}), true) = block + 1"
+    near = windows.join(_sized(index, listed.count() * sum(len(_flips(k)) for k in range(BLOCKS))), ["n", "block", "bits"]).filter(f"bit_count({apart}) <= {RADIUS}").filter(first)
+    near = near.join(_sized(listed.select("item", "item_id", F.col("sh").alias("item_sh")), listed.count()), "item")
     sure = near.withColumn("similarity", similarity("sh", "item_sh")).filter(F.col("similarity") >= THRESHOLD)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
     return sure.groupBy("doc_id", "item_id").agg(best, F.count_distinct("start").alias("n_windows")).select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("word_start"), "n_windows")
