@@ -48,7 +48,7 @@ from quillspark.llm.graph import components
 WORDS, THRESHOLD, K = 5, 75, 48
 SHORT, SIGMAS, BLOCK = 6, 5.4, 2048
 #: Values of the sketches that members of long lists have; pairs that each gives first, and how many times as many each time after.
-WIDE, FIRST, MORE = 256, 32, 64
+WIDE, FIRST, MORE = 256, 3, 16
 #: Columns and pairs looked at together.
 STEP = 2048
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
