@@ -245,22 +245,27 @@ def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["chunk"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n)], ["chunk", "i", "h", "n"])
 
 
-def _keys(texts: list[bytes]) -> np.ndarray:
+def _pieces(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Each byte of the texts with the ``DEPTH`` bytes before it, zeros standing before a
     text's start, as an integer: the nearest of those highest, the byte itself lowest."""
     x = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), dtype=np.uint8)
     own = np.ones(len(x), dtype=bool)
     for at in np.cumsum([0, *(DEPTH + len(t) for t in texts)])[:-1]:
         own[at : at + DEPTH] = False
-    out = np.empty(int(own.sum()), dtype=np.int64)
-    done = 0
     for k in range(0, len(x), STEP):
         at = np.flatnonzero(own[k : k + STEP]) + k
         key = x[at].astype(np.int64)
         for d in range(1, DEPTH + 1):
             key |= x[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
-        out[done : done + len(at)] = key
-        done += len(at)
+        yield key
+
+
+def _keys(texts: list[bytes]) -> np.ndarray:
+    out = np.empty(sum(map(len, texts)), dtype=np.int64)
+    done = 0
+    for key in _pieces(texts):
+        out[done : done + len(key)] = key
+        done += len(key)
     return out
 
 
@@ -416,19 +421,22 @@ def logs_of(chunks: DataFrame) -> DataFrame:
 
 
 def _scores(texts: list[bytes], found: pa.Scalar) -> list[float]:
-    """log10 probability of each text of a chunk."""
-    keys = _keys(texts)
-    known = _distinct(keys.copy())[0]
-    sums = np.zeros(len(keys) + 1)
-    if found.is_valid:
-        bucket, s = found.values.flatten()
-        logs = np.empty(len(known), dtype=np.float32)
-        logs[np.argsort(_bucket(known), kind="stable")] = np.frombuffer(b"".join(s[k].as_py() for k in np.argsort(bucket.to_numpy())), dtype=np.float32)
-        for k in range(0, len(keys), STEP):
-            sums[k + 1 : k + 1 + STEP] = logs[np.searchsorted(known, keys[k : k + STEP])]
-        np.cumsum(sums, out=sums)
+    """log10 probability of each text of a chunk. The keys are made twice rather than held."""
     ends = np.cumsum([0, *map(len, texts)])
-    return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+    if not found.is_valid or not ends[-1]:
+        return [0.0] * len(texts)
+    known = _distinct(_keys(texts))[0]
+    bucket, s = found.values.flatten()
+    logs = np.empty(len(known), dtype=np.float32)
+    logs[np.argsort(_bucket(known), kind="stable")] = np.frombuffer(b"".join(s[k].as_py() for k in np.argsort(bucket.to_numpy())), dtype=np.float32)
+    out, at = np.zeros(len(texts)), 0
+    for key in _pieces(texts):
+        sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(known, key)], dtype=np.float64)])
+        low, high = np.searchsorted(ends, at, side="right") - 1, np.searchsorted(ends, at + len(key), side="left")
+        edge = np.clip(ends[low : high + 1] - at, 0, len(key))
+        out[low:high] += sums[edge[1:]] - sums[edge[:-1]]
+        at += len(key)
+    return out.tolist()
 
 
 def _scored(total: int, distinct: int, ends: int, columns: list[str], kind: pa.DataType):
