@@ -245,27 +245,35 @@ def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["chunk"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n)], ["chunk", "i", "h", "n"])
 
 
-def _pieces(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Each byte of the texts with the ``DEPTH`` bytes before it, zeros standing before a
-    text's start, as an integer: the nearest of those highest, the byte itself lowest."""
+def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with ``DEPTH`` zeros before each text, which of them are the texts' own,
+    and where each text's zeros start."""
     x = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), dtype=np.uint8)
+    starts = np.cumsum([0, *(DEPTH + len(t) for t in texts)])[:-1]
     own = np.ones(len(x), dtype=bool)
-    for at in np.cumsum([0, *(DEPTH + len(t) for t in texts)])[:-1]:
+    for at in starts:
         own[at : at + DEPTH] = False
-    for k in range(0, len(x), STEP):
-        at = np.flatnonzero(own[k : k + STEP]) + k
-        key = x[at].astype(np.int64)
-        for d in range(1, DEPTH + 1):
-            key |= x[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
-        yield key
+    return x, own, starts
+
+
+def _keys_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes with the ``DEPTH`` bytes before them, as integers: the nearest of those
+    highest, the byte itself lowest."""
+    key = x[at].astype(np.int64)
+    for d in range(1, DEPTH + 1):
+        key |= x[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
+    return key
 
 
 def _keys(texts: list[bytes]) -> np.ndarray:
+    """The keys of each byte of the texts, zeros standing before a text's start."""
+    x, own, _ = _padded(texts)
     out = np.empty(sum(map(len, texts)), dtype=np.int64)
     done = 0
-    for key in _pieces(texts):
-        out[done : done + len(key)] = key
-        done += len(key)
+    for k in range(0, len(x), STEP):
+        at = np.flatnonzero(own[k : k + STEP]) + k
+        out[done : done + len(at)] = _keys_at(x, at)
+        done += len(at)
     return out
 
 
@@ -290,22 +298,32 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of each chunk by bucket, and how often training documents have them."""
-    for part in parts:
-        for row in part.to_pylist():
-            texts = list(_texts(row["held_out"], row["offsets"], row["data"]))
-            known, n = _distinct(_keys([t for held, t in texts if not held]))
-            keys = np.union1d(known, _distinct(_keys([t for held, t in texts if held]))[0])
-            counts = np.zeros(len(keys), dtype=np.int64)
-            counts[np.searchsorted(keys, known)] = n
-            bucket = _bucket(keys)
-            order = np.argsort(bucket, kind="stable")
-            keys, counts = keys[order], counts[order]
-            found, start = np.unique(bucket[order], return_index=True)
-            spans = list(zip(start, [*start[1:], len(keys)], strict=True)) if len(keys) else []
-            cols = ([row["chunk"]] * len(found), found.astype(np.int32), [_pack(np.diff(keys[i:j], prepend=0)) for i, j in spans], [_pack(counts[i:j]) for i, j in spans])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "grams", "n"])
+def _grams(counted: bool):
+    """Distinct keys of each chunk by bucket and, if ``counted``, how often training documents have them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in part.to_pylist():
+                texts = list(_texts(row["held_out"], row["offsets"], row["data"]))
+                if counted:
+                    known, n = _distinct(_keys([t for held, t in texts if not held]))
+                    keys = np.union1d(known, _distinct(_keys([t for held, t in texts if held]))[0])
+                    counts = np.zeros(len(keys), dtype=np.int64)
+                    counts[np.searchsorted(keys, known)] = n
+                else:
+                    keys = _distinct(_keys([t for _, t in texts]))[0]
+                bucket = _bucket(keys)
+                order = np.argsort(bucket, kind="stable")
+                keys = keys[order]
+                found, start = np.unique(bucket[order], return_index=True)
+                spans = list(zip(start, [*start[1:], len(keys)], strict=True)) if len(keys) else []
+                cols = [([row["chunk"]] * len(found), pa.int64()), (found.astype(np.int32), pa.int32()), ([_pack(np.diff(keys[i:j], prepend=0)) for i, j in spans], pa.binary())]
+                if counted:
+                    counts = counts[order]
+                    cols.append(([_pack(counts[i:j]) for i, j in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["chunk", "bucket", "grams", "n"][: len(cols)])
+
+    return run
 
 
 #: ``log_gamma`` of the first whole numbers and a half, and of those and one.
@@ -411,32 +429,49 @@ def _logs(sent):
 def logs_of(chunks: DataFrame) -> DataFrame:
     """``chunk``, ``logs``: of each chunk's distinct keys, by bucket, the log10
     probability of the byte after its context under the tree of all training documents."""
-    grams = chunks.select("chunk", "held_out", "offsets", "data").mapInArrow(_grams, "chunk long, bucket int, grams binary, n binary")
+    read = chunks.select("chunk", "held_out", "offsets", "data")
+    grams = read.mapInArrow(_grams(True), "chunk long, bucket int, grams binary, n binary")
     mixed = written(grams.select("bucket", "grams", "n").groupBy("bucket").applyInArrow(_mixed, "bucket int, grams binary, bits binary, decision long, a double, b double, w double"))
     top = mixed.filter("decision IS NOT NULL").groupBy("decision").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()  # 256 * 255 rows at most
     sent = chunks.sparkSession.sparkContext.broadcast(_above(*(top.column(k).to_numpy() for k in range(4))))
     subtrees = mixed.filter("bits IS NOT NULL").select("bucket", "grams", "bits")
-    found = grams.select("chunk", "bucket", "grams").groupBy("bucket").cogroup(subtrees.groupBy("bucket")).applyInArrow(_logs(sent), "chunk long, bucket int, s binary")
+    asked = read.mapInArrow(_grams(False), "chunk long, bucket int, grams binary")
+    found = asked.groupBy("bucket").cogroup(subtrees.groupBy("bucket")).applyInArrow(_logs(sent), "chunk long, bucket int, s binary")
     return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "s")).alias("logs"))
 
 
+def _numbered(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and for each byte the number of its own (-1 for padding).
+    Keys are sorted by ranges of the nearest byte, about ``STEP`` of them together."""
+    nearest = np.concatenate([np.zeros(1, dtype=np.uint8), x[:-1]])
+    counts = np.bincount(nearest[own], minlength=256)
+    part = (np.cumsum(counts) - counts) // STEP
+    number, known, total = np.full(len(x), -1, dtype=np.int32), [np.zeros(0, dtype=np.int64)], 0
+    for low, high in zip(*(np.searchsorted(part, np.unique(part), side=side) for side in ("left", "right")), strict=True):
+        at = np.flatnonzero(own & (nearest >= low) & (nearest < high))
+        if not len(at):
+            continue
+        key = _keys_at(x, at)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        number[at[order]] = total - 1 + np.cumsum(first, dtype=np.int32)
+        known.append(key[first])
+        total += len(known[-1])
+    return np.concatenate(known), number
+
+
 def _scores(texts: list[bytes], found: pa.Scalar) -> list[float]:
-    """log10 probability of each text of a chunk. The keys are made twice rather than held."""
-    ends = np.cumsum([0, *map(len, texts)])
-    if not found.is_valid or not ends[-1]:
+    """log10 probability of each text of a chunk."""
+    x, own, starts = _padded(texts)
+    if not found.is_valid or not own.any():
         return [0.0] * len(texts)
-    known = _distinct(_keys(texts))[0]
+    known, number = _numbered(x, own)
     bucket, s = found.values.flatten()
-    logs = np.empty(len(known), dtype=np.float32)
+    logs = np.zeros(len(known) + 1, dtype=np.float32)  # the last is that of padding
     logs[np.argsort(_bucket(known), kind="stable")] = np.frombuffer(b"".join(s[k].as_py() for k in np.argsort(bucket.to_numpy())), dtype=np.float32)
-    out, at = np.zeros(len(texts)), 0
-    for key in _pieces(texts):
-        sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(known, key)], dtype=np.float64)])
-        low, high = np.searchsorted(ends, at, side="right") - 1, np.searchsorted(ends, at + len(key), side="left")
-        edge = np.clip(ends[low : high + 1] - at, 0, len(key))
-        out[low:high] += sums[edge[1:]] - sums[edge[:-1]]
-        at += len(key)
-    return out.tolist()
+    del known, x, own
+    return np.add.reduceat(logs[number], starts, dtype=np.float64).tolist()
 
 
 def _scored(total: int, distinct: int, ends: int, columns: list[str], kind: pa.DataType):
