@@ -81,6 +81,8 @@ def money(raw) -> float | None:
 
 def amounts(line: str) -> list[tuple[float, int, int]]:
     """Amounts of a line as (value, start, end)."""
+    if not _AMOUNT.search(line):  # masking takes digits away: it makes no amount
+        return []
     masked = line
     for p in _OTHER_NUMBERS:
         masked = p.sub(lambda m: "#" * len(m[0]), masked)
@@ -94,6 +96,8 @@ def _iso(y: int, m: int, d: int) -> str | None:
 
 
 def date(text: str) -> tuple[str, int, int] | None:
+    if not any(c.isdigit() for c in text):
+        return None
     if m := _NUMERIC_DATE.search(text):
         a, b, c = map(int, m.groups())
         if len(m[1]) == 4:

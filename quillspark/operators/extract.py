@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,6 +57,16 @@ _CURRENCY = re.compile(r"\b(?:RM|MYR)\b", re.IGNORECASE)
 _ID = r"((?=[A-Za-z0-9\-/]*\d)[A-Za-z0-9][A-Za-z0-9\-/]{3,24})"
 
 
+_ORDERED: dict[int, list[str]] = {}
+
+
+def _ordered(labels: list[str]) -> list[str]:
+    """A constant list of labels, longest first."""
+    if id(labels) not in _ORDERED:
+        _ORDERED[id(labels)] = _longest_first(labels)
+    return _ORDERED[id(labels)]
+
+
 def first_alone(low: str, needles: list[str]) -> tuple[str, int] | None:
     """The first needle whose first occurrence has no letter or digit beside it."""
     for n in needles:
@@ -76,9 +86,7 @@ class Line:
         self.bare = self.text.strip()
         self.noise = any(p in self.low for p in V.NOISE_PHRASES)
         self.left = self.at + len(self.text) - len(self.text.lstrip())
-
-    def has(self, needles: list[str]) -> bool:
-        return first_alone(self.low, needles) is not None
+        self.numeric = any(c.isdigit() for c in self.text)
 
     @property
     def right(self) -> int:
@@ -91,6 +99,17 @@ class Receipt:
         for x in text.split("\n"):
             self.lines.append(Line(x, at))
             at += len(x) + 1
+        self.low = "\n".join(x.low for x in self.lines)
+        self._here: dict[int, list[str]] = {}
+
+    def here(self, needles: list[str]) -> list[str]:
+        """Those of a constant list that the text has at all, found once a receipt."""
+        if id(needles) not in self._here:
+            self._here[id(needles)] = [n for n in needles if n in self.low]
+        return self._here[id(needles)]
+
+    def has(self, line: Line, needles: list[str]) -> bool:
+        return first_alone(line.low, self.here(needles)) is not None
 
     def entities(self) -> list[Entity]:
         found = [*self.amounts()]
@@ -108,8 +127,8 @@ class Receipt:
         """(type, label, value, start, end), at most one a line."""
         summary = False
         for k, line in enumerate(self.lines):
-            summary = summary or line.has(V.SUMMARY_HEADERS)
-            hit = first_alone(line.low, _MONEY)
+            summary = summary or self.has(line, V.SUMMARY_HEADERS)
+            hit = first_alone(line.low, self.here(_MONEY))
             if hit is None:
                 continue
             label, at = hit
@@ -196,7 +215,7 @@ class Receipt:
         def found():
             for line in self.lines:
                 if d := K.date(line.text):
-                    anchored = line.has(V.DATE_LABELS) or line.has(V.DAY_NAMES)
+                    anchored = self.has(line, V.DATE_LABELS) or self.has(line, V.DAY_NAMES)
                     yield anchored, self._at("DATE", line, d, 0.9 if anchored else 0.75)
 
         return self._anchored(found())
@@ -204,7 +223,9 @@ class Receipt:
     def time(self) -> Entity | None:
         def found():
             for line in self.lines:
-                anchored = line.has(V.TIME_LABELS) or bool(_DAY_PART.search(line.low))
+                if not line.numeric:
+                    continue
+                anchored = self.has(line, V.TIME_LABELS) or bool(_DAY_PART.search(line.low))
                 if m := _STRICT_CLOCK.search(line.text):
                     if c := K.clock(line.text, m.start()):
                         yield anchored, self._at("TIME", line, c, 0.9 if anchored else 0.8)
@@ -216,7 +237,7 @@ class Receipt:
     def labelled(self, kind: str, labels: list[str], value: str, confidence: float) -> Entity | None:
         pattern = re.compile(r"^\s*(?:no\.?|id|reg\.?|#)?\s*[:;\-.]?\s*" + value)
         for line in self.lines:
-            for label in _longest_first(labels):
+            for label in self.here(_ordered(labels)):
                 hit = first_alone(line.low, [label])
                 if not hit:
                     continue
@@ -239,14 +260,14 @@ class Receipt:
     def payment(self) -> Entity | None:
         for line in self.lines:
             for method, forms in V.PAYMENT_METHODS.items():
-                if hit := first_alone(line.low, forms):
+                if hit := first_alone(line.low, self.here(forms)):
                     return self._at("PAYMENT_METHOD", line, (method, hit[1], hit[1] + len(hit[0])), 0.8)
         return None
 
     def items(self) -> Iterator[Entity]:
         for line in self.lines:
             m = _PRICED.search(line.text)
-            if not m or line.has(_MONEY):
+            if not m or self.has(line, _MONEY):
                 continue
             name = K.spaces(re.sub(r"[\d.,]+$", "", line.text[: m.start()])).strip(" -|:")
             if len(name) < 2:
@@ -264,7 +285,11 @@ def extract(text: str | None) -> list[Entity]:
 
 @F.pandas_udf(T.ArrayType(ENTITY))
 def entities(text: pd.Series) -> pd.Series:
-    return pd.Series([[asdict(e) for e in extract(t)] for t in text])
+    return pd.Series([[vars(e) for e in extract(t)] for t in text])
+
+
+#: Marked so that a filter or a second use of its result does not run it again.
+entities = entities.asNondeterministic()
 
 
 def entity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ one before has changed. ``reconcile`` is one Arrow pass and never shuffles.
 from __future__ import annotations
 
 import itertools
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -268,7 +268,7 @@ def resolve(text: str | None, reply: dict | None = None, use_rules: bool = True,
     items: list[Reading] = []
     names = {f.name for f in fields(Reading)}
     for e in extract(text) if use_rules else []:
-        r = Reading(**{k: v for k, v in asdict(e).items() if k in names})
+        r = Reading(**{k: v for k, v in vars(e).items() if k in names})
         if r.type == "ITEM":
             items.append(r)
         else:
@@ -300,4 +300,8 @@ RESOLVED = T.StructType([T.StructField("entities", T.ArrayType(READING)), T.Stru
 def reconcile(text: pd.Series, reply: pd.Series) -> pd.DataFrame:
     """Entities (absent types included) and warnings of a text and a model's raw reply, which may be null."""
     docs = [resolve(t, K.parse_json(r) if r is not None else None, expect_model=r is not None) for t, r in zip(text, reply, strict=True)]
-    return pd.DataFrame({"entities": [[asdict(e) for e in d.rows()] for d in docs], "warnings": [d.warnings for d in docs]})
+    return pd.DataFrame({"entities": [[vars(e) for e in d.rows()] for d in docs], "warnings": [d.warnings for d in docs]})
+
+
+#: Marked so that a filter or a second use of its result does not run it again.
+reconcile = reconcile.asNondeterministic()

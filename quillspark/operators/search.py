@@ -55,7 +55,7 @@ def distinct_values(entities: DataFrame) -> DataFrame:
 
 def spelled_alike(entities: DataFrame, query: str, least: float = 0.0) -> DataFrame:
     """Distinct values with their ``lexical`` score, each scored once however often it is stored."""
-    scored = distinct_values(entities).withColumn("lexical", K.partial_similarity_udf(F.lit(query), F.col("value")))
+    scored = distinct_values(entities).withColumn("lexical", K.partial_similarity_udf.asNondeterministic()(F.lit(query), F.col("value")))
     return scored.filter(F.col("lexical") >= least)
 
 
