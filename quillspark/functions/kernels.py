@@ -8,6 +8,7 @@ import json
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import vocabulary as V
 
+#: Patterns that define results (fixed values), from here to ``_CLOCK``.
 _AMOUNT = re.compile(rf"\d{{1,3}}(?:[,\s]?\d{{3}})*\s?[{V.POINT}]\s?\d{{2}}(?!\d)")
 #: Dates, clock times, phone numbers and long numbers: not amounts. In this order.
 _OTHER_NUMBERS = [
@@ -81,13 +83,19 @@ def money(raw) -> float | None:
 
 def amounts(line: str) -> list[tuple[float, int, int]]:
     """Amounts of a line as (value, start, end)."""
+    return list(_amounts(line))
+
+
+@lru_cache(maxsize=4096)
+def _amounts(line: str) -> tuple[tuple[float, int, int], ...]:
+    """Extraction and checking ask for the same lines."""
     if not _AMOUNT.search(line):  # masking takes digits away: it makes no amount
-        return []
+        return ()
     masked = line
     for p in _OTHER_NUMBERS:
         masked = p.sub(lambda m: "#" * len(m[0]), masked)
     found = ((money(line[m.start() : m.end()]), *m.span()) for m in _AMOUNT.finditer(masked))
-    return [x for x in found if x[0] is not None]
+    return tuple(x for x in found if x[0] is not None)
 
 
 def _iso(y: int, m: int, d: int) -> str | None:
@@ -180,37 +188,51 @@ def locate(text: str | None, value: str | None, least: float = 0.72) -> Span | N
 # -- damaged JSON
 
 
-def parse_json(reply: str | None) -> dict | None:
-    """The object in a reply: as it is, repaired, as a Python literal, or at least
-    its scalar members (then with ``_partial``). Null if there is none."""
-    text = re.sub(r"```(?:json)?", "", reply or "")
-    start = text.find("{")
-    if start < 0:
-        return None
-    body = text[start : end + 1] if (end := text.rfind("}")) > start else text[start:]
+#: A value that is a sum, difference, product or quotient of two numbers; a member with a plain value (fixed values).
+_SUM = re.compile(r":\s*(-?\d+(?:\.\d+)?)\s*([+\-*/])\s*(-?\d+(?:\.\d+)?)\s*(?=[,}\]])")
+_MEMBER = re.compile(r'"([A-Za-z_][A-Za-z0-9_]*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?|true|false|null)')
+_OPERATIONS = {"+": float.__add__, "-": float.__sub__, "*": float.__mul__, "/": float.__truediv__}
+
+
+def _computed(text: str) -> str:
+    """Sums in value position replaced by their result; a division by zero is null."""
 
     def solved(m: re.Match) -> str:
-        a, op, b = float(m[2]), m[3], float(m[4])
-        if op == "/" and not b:
-            return f"{m[1]}null"
-        return f"{m[1]}{round({'+': a + b, '-': a - b, '*': a * b, '/': a / (b or 1)}[op], 2)}"
-
-    sums = lambda s: re.sub(r"(:\s*)(-?\d+(?:\.\d+)?)\s*([-+*/])\s*(\d+(?:\.\d+)?)(?=\s*[,}\]])", solved, s)
-    commas = lambda s: re.sub(r",\s*([}\]])", r"\1", s)
-    closed = lambda s: s + "]" * (s.count("[") - s.count("]")) + "}" * (s.count("{") - s.count("}"))
-    for repair in (str, commas, lambda s: commas(sums(s)), lambda s: closed(commas(sums(s)))):
-        for read in (json.loads, ast.literal_eval):
+        a, b = float(m[1]), float(m[3])
+        return ": null" if m[2] == "/" and b == 0 else f": {round(_OPERATIONS[m[2]](a, b), 2)}"
+
+    return _SUM.sub(solved, text)
+
+
+def _read(read, text: str) -> dict | None:
+    try:
+        found = read(text)
+    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def parse_json(reply: str | None) -> dict | None:
+    """The object in a reply: as it is, with sums computed, without trailing commas, with
+    Python's null, or with the first two together; else as a Python literal; else its
+    plain members, the first of each name (then with ``_partial``). Null if there is none."""
+    text = re.sub(r"^```(?:json)?|```$", "", (reply or "").strip(), flags=re.MULTILINE).strip()
+    start, end = text.find("{"), text.rfind("}")
+    body = text[start : end + 1] if 0 <= start and end >= 0 else text
+    tidy = re.sub(r",\s*([}\]])", r"\1", body)
+    for candidate in (body, _computed(body), tidy, re.sub(r"\bNone\b", "null", body), _computed(tidy)):
+        if (found := _read(json.loads, candidate)) is not None:
+            return found
+    if (found := _read(ast.literal_eval, body)) is not None:
+        return found
+    members: dict = {}
+    for name, value in _MEMBER.findall(_computed(text)):
+        if name not in members:
             try:
-                found = read(repair(body))
-            except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+                members[name] = json.loads(value)
+            except ValueError:  # an escape that JSON does not know
                 continue
-            if isinstance(found, dict):
-                return found
-    found = {}
-    for m in re.finditer(r'"(\w+)"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?\d+(?:\.\d+)?)|(null|true|false))', sums(body)):
-        if m[1] not in found:
-            found[m[1]] = m[2] if m[2] is not None else float(m[3]) if m[3] else {"null": None, "true": True, "false": False}[m[4]]
-    return found | {"_partial": True} if found else None
+    return members | {"_partial": True} if members else None
 
 
 # -- the same over columns

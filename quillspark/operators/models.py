@@ -33,11 +33,11 @@ SYSTEM = "You read receipts in Malay and English from damaged scans and answer w
 ASK = "Fill in this object from the receipt. Copy what is printed, mend damaged digits, give amounts as plain numbers, and put null where the receipt says nothing."
 
 
-def resolve(registry: dict, name: str):
-    """The registered model; an unknown name is an error that lists the known ones."""
-    if name not in registry:
-        raise ValueError(f"unknown model {name!r}; known: {', '.join(sorted(registry)) or 'none'}")
-    return registry[name]
+def resolve(registry: dict, name: str, aliases: dict[str, str] | None = None):
+    """The registered model of a name or of its alias (case and outer spaces aside). A name
+    that is in neither stands for itself: it is passed through as it is."""
+    known = (aliases or {}).get(name.strip().lower(), name)
+    return registry.get(known, known)
 
 
 def schema_of_reply(items: bool = True) -> str:

@@ -7,6 +7,7 @@ readers see the old version or the new one. Old versions stay until ``vacuum``.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,17 @@ class Store:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointer files, newest first; one counts once its name is whole."""
+        if not self._fs.exists(self._path("")):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(self._path("")))
+        return sorted((int(m[1]) for n in names if (m := re.fullmatch(r"current-(\d+)\.json", n))), reverse=True)
+
     def _current(self) -> dict[str, str]:
-        pointer = f"{self.root}/current.json"
-        if not self._fs.exists(self._path("current.json")):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(pointer, wholetext=True).collect()))
+        for number in self._pointers()[:1]:
+            return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/current-{number}.json", wholetext=True).collect()))
+        return {}
 
     def table(self, name: str) -> DataFrame:
         version = self._current().get(name)
@@ -61,16 +68,20 @@ class Store:
         return migrated(self.spark.read.parquet(f"{self.root}/{name}-{version}"), SCHEMAS[name])
 
     def replace(self, **tables: DataFrame) -> None:
-        """All given tables at once: readers see every new version or none."""
+        """All given tables at once: readers see every new version or none. The new
+        pointer gets the next number by one rename; older ones go with ``vacuum``, so
+        there is no moment without one."""
+        number = next(iter(self._pointers()), 0) + 1
         versions = self._current()
         for name, df in tables.items():
             versions[name] = uuid.uuid4().hex
             migrated(df, SCHEMAS[name]).write.parquet(f"{self.root}/{name}-{versions[name]}")
-        stream = self._fs.create(self._path("next.json"), True)
+        waiting = f"next-{uuid.uuid4().hex}.json"
+        stream = self._fs.create(self._path(waiting), True)
         stream.write(bytearray(json.dumps(versions).encode()))
         stream.close()
-        self._fs.delete(self._path("current.json"), False)
-        self._fs.rename(self._path("next.json"), self._path("current.json"))
+        if not self._fs.rename(self._path(waiting), self._path(f"current-{number}.json")):
+            raise RuntimeError(f"another writer has replaced version {number - 1} of {self.root}")
 
     def vacuum(self) -> None:
         kept = {f"{n}-{v}" for n, v in self._current().items()}
@@ -78,6 +89,8 @@ class Store:
             name = status.getPath().getName()
             if status.isDirectory() and name not in kept:
                 self._fs.delete(status.getPath(), True)
+        for number in self._pointers()[1:]:
+            self._fs.delete(self._path(f"current-{number}.json"), False)
 
     # -- documents
 

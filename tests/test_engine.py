@@ -156,8 +156,7 @@ def test_models_and_api(spark, tmp_path):
     images = spark.createDataFrame([("/a.png", "a.png", b"KEDAI ALI SDN BHD\nTotal 5.00")], "path string, filename string, content binary")
     reader = lambda blobs: [[{"x": 0.0, "y": 20.0 * k, "height": 10.0, "text": t, "conf": 0.9} for k, t in enumerate(b.decode().split("\n"))] for b in blobs]
     assert api.process_images(images, reader).first().fields.total == "5.00"
-    with pytest.raises(ValueError, match="unknown model"):
-        models.resolve(models.READERS, "none")
+    assert models.resolve(models.READERS, "none") == "none" and models.resolve({"a/b": 1}, " AB ", {"ab": "a/b"}) == 1
     boxes = "array<struct<x:double,y:double,height:double,text:string,conf:double>>"
     variants = spark.createDataFrame([(1, 0, [(0.0, 0.0, 1.0, "a", 0.5)]), (1, 1, [(0.0, 0.0, 1.0, "b", 0.5)]), (2, 0, [(0.0, 0.0, 1.0, "c", 0.2)]), (2, 1, [(0.0, 0.0, 1.0, "d", 0.4)])], f"k int, variant_order int, boxes {boxes}")
     assert {r.k: r.variant_order for r in models.best_variant(variants, ["k"]).collect()} == {1: 0, 2: 1}
@@ -181,3 +180,16 @@ def test_entry_works_without_the_llm_folder():
     code = "import sys; sys.modules['quillspark.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op') or q == 'pipeline'])"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
     assert out.strip().endswith("[]") and int(out.split()[0]) > 30
+
+
+def test_store_pointer_is_never_missing(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/p")
+    one = spark.createDataFrame([("k", "1")], store.SCHEMAS["settings"])
+    two = spark.createDataFrame([("k", "2")], store.SCHEMAS["settings"])
+    s.replace(settings=one)
+    (tmp_path / "p" / "next-stopped.json").write_text('{"settings": "gone"}')  # a writer that stopped before its rename
+    assert s.setting("k") == "1"
+    s.replace(settings=two)
+    assert s.setting("k") == "2" and s._pointers() == [2, 1]
+    s.vacuum()
+    assert s.setting("k") == "2" and s._pointers() == [2]

@@ -62,7 +62,8 @@ def test_similarity():
 
 @pytest.mark.parametrize(("reply", "found"), [
     ('{"a":1}', {"a": 1}), ('```json\n{"a":1}\n```', {"a": 1}), ('{"a":1} and more', {"a": 1}), ('{"a":1,}', {"a": 1}), ("{'a': None}", {"a": None}), ("garbage", None), (None, None),
-    ('{"u": 54.40 / 3, "b": 1}', {"u": 18.13, "b": 1}), ('{"u": 5 / 0}', {"u": None}), ('{"m":"A","t":1.5,"items":[{"name":"B","t":2', {"m": "A", "t": 1.5, "name": "B", "_partial": True}),
+    ('{"u": 54.40 / 3, "b": 1}', {"u": 18.13, "b": 1}), ('{"u": 5 / 0}', {"u": None}), ('{"m":"A","t":1.5,"items":[{"name":"B","t":2', {"m": "A", "t": 1.5, "name": "B", "t": 1.5, "_partial": True}),
+    ('{"u": 5 * -2}', {"u": -10.0}), ('{"a": "say \\"hi\\"", "n": 12, "b": [', {"a": 'say "hi"', "n": 12, "_partial": True}), ('{"a": None, "b": true}', {"a": None, "b": True}), ("[1]", None),
 ])
 def test_parse_json(reply, found):
     assert K.parse_json(reply) == found
