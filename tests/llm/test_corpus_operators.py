@@ -97,6 +97,33 @@ def test_small_sets_lose_nothing(spark):
     assert Counter(tuple(r) for r in near_dup.near_duplicates(df).collect()) == brute_components(rows)
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    left, right = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, left), (5, right), (1, f"{left} x"), (2, f"{right} y"), (9, None), (9, "alone here")]
+    for some in (rows, rows[::-1]):
+        got = Counter(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect())
+        assert got == brute_components(some)
+        assert {r[2] for r in got if r[0] in (1, 2, 5)} == {1}
+
+
+def test_long_lists_give_more_pairs_round_by_round(spark, monkeypatch):
+    """Unlike texts share a passage that fills the sketches' lists; few pairs a round still find all links."""
+    monkeypatch.setattr(near_dup, "FIRST", 1)
+    monkeypatch.setattr(near_dup, "MORE", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rnd = random.Random(8)
+    passage = [f"p{k}" for k in range(70)]
+    rows = []
+    for k in range(14):
+        own = [f"g{k}w{j}" for j in range(40)]
+        for j in range(4):
+            w = passage + own
+            w[70 + rnd.randrange(40)] = f"e{k}x{j}"
+            rows.append((10 * k + j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_dup.near_duplicates(df).collect()) == brute_components(rows)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
@@ -107,6 +134,7 @@ def test_components(spark):
         root[b] = a
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+    assert {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few=0).collect()} == got
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

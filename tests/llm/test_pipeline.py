@@ -89,6 +89,25 @@ def test_stages_keep_the_columns(spark, corpus):
     assert corpus_pipeline.STAGES[-1][1](spark, none, root).count() == 0
 
 
+def test_repeated_rows_null_and_extra_columns(spark, corpus, tmp_path):
+    root, _, _ = corpus
+    text = " ".join(f"unseen{k}" for k in range(30))
+    rows = [(1, text, "a", 1), (1, text, "b", 2), (None, None, None, None), (None, None, "c", 3), (2, f"{text}\n", "d", 4), (3, "", "e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__gone` string, ids int")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 3] and {r["__gone"] for r in got if r.doc_id == 1} <= {"a", "b"}
+
+
+def test_no_documents(spark, corpus, tmp_path):
+    root, _, _ = corpus
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 

@@ -184,3 +184,30 @@ def test_sampling_one_grade_harder_keeps_the_cut(spark):
     unweighted = {r.doc_id: r.p_toxic for r in toxicity.score(asked, toxicity.fit(toxicity.sample(docs, labels, toxicity.severity(), per_grade=250))).collect()}
     assert whole[0] < 0.5 and part[0] < 0.5 < unweighted[0]
     assert abs(whole[0] - part[0]) < 0.1 and abs(whole[1] - part[1]) < 0.1
+
+
+def test_very_long_white_space_counts_as_in_the_library(vocabulary):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, enc = Tokenizer.from_file(path), tokcount.encoder(path)
+    for text in (" " * 1_000_000 + "a", "x" + "\n" * 1_000_000):
+        assert tokcount.count_tokens(text, enc) == len(enc.ids(text)) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_chains_and_sums_are_resolved_once():
+    import time
+
+    began = time.perf_counter()
+    secret = "Ab1xy9Zq77kk"
+    sums = f"x0 = '{secret}'\n" + "".join(f"x{k + 1} = x{k} + x{k} + x{k} + x{k}\n" for k in range(20)) + "my_secret = x20"
+    chain = f"v0 = '{secret}'\n" + "".join(f"v{k + 1} = v{k}\n" for k in range(3000)) + "my_secret = v3000"
+    for text in (sums, chain):
+        assert [text[a:b] for k, a, b, *_ in secret_scan.secrets(text) if k == "literal"] == [secret]
+    assert secret_scan.secrets("a:" * 200_000) == [] and secret_scan.secrets("a:!" * 100_000) == []
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("text", ['token = b"hunTer2-88xZ"', 'password = """hunTer2-88xZ"""', "api_key = (\n  'hunTer2-88xZ')", "pw = 'hunTer2-88xZ'\nb = pw\npassword = \\\n b"])
+def test_forms_of_literals(text):
+    assert "hunTer2-88xZ" in [text[a:b] for k, a, b, *_ in secret_scan.secrets(text) if k == "literal"]
