@@ -5,13 +5,12 @@
 * Inverted lists: each two neighbours in a sketch's order make one key. Of two
   documents with the similarity asked for, two neighbouring values of their
   union's sketch are in both but for a chance of about 2e-7 at ``k`` = 48; for
-  sets no larger than ``k`` it is certain. A list of up to ``SHORT`` classes gives
-  all its pairs. In a longer list each class is paired with the most central one,
-  which has most values in long lists.
+  sets no larger than ``k`` it is certain. In each list, every class is paired with the
+  most central one, which is in most lists. Lists of up to ``SHORT`` classes then give
+  all their pairs that would still join two groups.
 * The sketch of the union, made from both sketches, estimates each pair's
   similarity; pairs more than ``SIGMAS`` standard errors below the threshold go.
-* The rest is decided by exact Jaccard on the full sets: first each class's most
-  promising pair, then all pairs that would still join two groups.
+* The rest is decided by exact Jaccard on the full sets.
 * A long list whose members are then in one group is done. In any other, members of
   different groups are compared, block by block, so that no task holds more than two
   blocks of a list. Those members have wider sketches (``WIDE`` values, for most texts
@@ -114,22 +113,27 @@ def _postings(reps: DataFrame) -> DataFrame:
     return reps.filter(F.size("sketch") > 1).select("rep", F.explode(keys).alias("key"))
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(pairs, lists, held)`` of classes (``rep``, ``sketch``): pairs ``a`` < ``b`` to
-    estimate, the long lists (``key``, ``length``, ``hub``, ``rep``), written, and the
-    written table that ``pairs`` are read from."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(stars, held)`` of classes (``rep``, ``sketch``): pairs ``a`` < ``b`` of each list's
+    members with its most central one, and the lists (``key``, ``rep``, ``length``), written."""
     postings = _postings(reps)
     lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
     held = written(postings.join(lengths, "key"))
-    short = held.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("all"))
-    one = short.select("all", F.posexplode("all").alias("i", "a"))
-    close = one.select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("b")).filter("a < b")
-    long = held.filter(F.col("length") > SHORT)
-    ranked = long.join(long.groupBy("rep").agg(F.count(F.lit(1)).alias("rank")), "rep")
+    many = held.filter("length > 2")
+    ranked = many.join(many.groupBy("rep").agg(F.count(F.lit(1)).alias("rank")), "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("rep")).alias("back"))).alias("hub"))
-    lists = written(long.join(hubs.select("key", (-F.col("hub.back")).alias("hub")), "key").select("key", "length", "hub", "rep"))
-    star = lists.filter("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    return close.unionByName(star).distinct(), lists, held
+    members = many.join(hubs.select("key", (-F.col("hub.back")).alias("hub")), "key").filter("hub != rep")
+    return members.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), held
+
+
+def close(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs ``a`` < ``b`` of short lists whose members are not in one group yet."""
+    node = groups.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    placed = held.filter(F.col("length") <= SHORT).join(node, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    apart = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "c"))).alias("all"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high")
+    one = apart.select("all", F.posexplode("all").alias("i", "x"))
+    two = one.select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(SHORT))).alias("y")).filter("x.c != y.c AND x.rep < y.rep")
+    return two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def _floor(threshold: int, k: int) -> float:
@@ -366,12 +370,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = written(own.filter("a < b").select("doc_id"))
     same = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.coalesce("rep", "doc_id").alias("b"))
     groups = docs.sparkSession.createDataFrame([], "node long, component long") if several.isEmpty() else components(same)
-    pairs, lists, held = candidates(reps)
-    likely = written(estimated(pairs, reps, threshold, k))
     texts = rows.withColumnRenamed("doc_id", "rep").filter("rep IS NOT NULL")
     tried: list[DataFrame] = []
-    groups = _joined(likely, texts, threshold, words, groups, tried)
-    release(held, likely, reps, several)
+    stars, held = candidates(reps)
+    for pairs in (lambda: stars, lambda: close(held, groups)):
+        likely = written(estimated(pairs(), reps, threshold, k))
+        groups = _joined(likely, texts, threshold, words, groups, tried)
+        release(likely)
+    release(reps, several)
+    lists = held.filter(F.col("length") > SHORT).select("key", "length", "rep")
     if not lists.isEmpty():
         most, wide = FIRST, _sets(lists.select(F.col("rep").alias("id")), texts, words, WIDE)
         while True:
@@ -383,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             most *= MORE
         release(wide)
-    release(lists, *tried)
+    release(held, *tried)
     rep = F.coalesce("rep", "doc_id")
     classed = base.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").withColumn("rep", rep)
     found = classed.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
