@@ -47,7 +47,7 @@ from quillspark.llm.graph import components
 WORDS, THRESHOLD, K = 5, 75, 48
 SHORT, SIGMAS, BLOCK = 6, 5.4, 2048
 #: Values of the sketches that members of long lists have; pairs that each gives first, and how many times as many each time after.
-WIDE, FIRST, MORE = 256, 3, 16
+WIDE, FIRST, MORE = 1024, 3, 16
 #: Columns and pairs looked at together.
 STEP = 2048
 #: Bits of the filter that spares texts without a candidate the shuffle (2 MB, whatever the input).
@@ -250,11 +250,11 @@ def _likely(group: pa.RecordBatch, threshold: int, k: int, most: int) -> tuple[n
     p, q = np.nonzero(likely)
     p, q = x[p], y[q]
     estimate = np.zeros(len(p))
-    for sketch, size in ((rows, k), (wide, wide.shape[1])):
+    for sketch, size in ((rows, k), (wide, WIDE)):
         for i in range(0, len(p), STEP):
             share, n = _estimates(sketch[p[i : i + STEP]], sketch[q[i : i + STEP]], size)
             # a union that its sketch holds whole is known, but for equal halves of hashes
-            estimate[i : i + STEP] = np.where(share >= np.where(n < size, threshold / 100 - 0.02, _floor(threshold, size)), share, -1)
+            estimate[i : i + STEP] = np.where(share >= np.where(n < size, threshold / 100 - 0.005, _floor(threshold, size)), share, -1)
         fine = estimate >= 0
         p, q, estimate = p[fine], q[fine], estimate[fine]
     if not len(p):
