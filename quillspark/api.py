@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions import vocabulary as V
-from quillspark.operators import intervals, models
-from quillspark.operators.reconcile import reconcile
-from quillspark.sources.store import Store
+from quillspark.operators import intervals, models, search
+from quillspark.operators.reconcile import model_alone, reconcile
+from quillspark.sources.store import Store, embedded_total, upsert
 
 
 def process(docs: DataFrame, extractor: models.Extractor | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,6 +42,25 @@ def ingest(store: Store, processed: DataFrame, ref: str = "doc_id", text_col: st
     store.add(docs, rows.select("doc_ref", *(F.col(f"e.{n}").alias(n) for n in ("type", "value", "text", "start", "end", "confidence", "source")), meta.alias("meta")))
 
 
+def reindex(store: Store, encoder: search.Encoder, name: str, everything: bool = True) -> int:
+    """Encodes the stored entities again (without ``everything`` only those that have no
+    vector) and records the encoder's name and length. Returns how many have a vector."""
+    dim = len(encoder(["a"])[0])
+    old = store.table("settings")
+    said = store.spark.createDataFrame([("encoder", name), ("encoder_dim", str(dim))], old.schema)
+    store.replace(entities=search.embed(store.table("entities"), encoder, everything), settings=upsert(old, said, ["key"]))
+    return embedded_total(store.table("entities")).first()[0]
+
+
+def dataset(store: Store, rows: DataFrame, reader: models.Reader, extractor: models.Extractor | None = None, source: str = "dataset") -> DataFrame:
+    """Labelled images (``filename``, ``content``, ``truth``) processed into the store under
+    paths of ``source``. Returns each document's ``truth`` beside its ``fields``."""
+    images = rows.withColumn("path", F.concat(F.lit(f"{source}/"), "filename"))
+    done = process_images(images, reader, extractor)
+    ingest(store, done, "path")
+    return done.select("path", "filename", "truth", "fields")
+
+
 def show(store: Store, doc_id: int, html: bool = False) -> str | None:
     """A stored text with its entities marked."""
     one = store.get(doc_id)
@@ -51,7 +70,17 @@ def show(store: Store, doc_id: int, html: bool = False) -> str | None:
 
 
 def compare(docs: DataFrame, extractor: models.Extractor, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fields by rules and by rules with a model, one row for each field that either found."""
-    pick = lambda df, name: df.select(id_col, F.explode(F.filter("entities", lambda e: e["value"].isNotNull() & (e["type"] != "ITEM"))).alias("e")).select(id_col, F.lit(name).alias("config"), "e.type", "e.value")
-    both = pick(process(docs, None, id_col, text_col), "rules").unionByName(pick(process(docs, extractor, id_col, text_col), "hybrid"))
-    return both.groupBy(id_col, "type").pivot("config", ["rules", "hybrid"]).agg(F.first("value")).withColumn("differs", ~F.col("rules").eqNullSafe(F.col("hybrid")))
+    """Fields by rules, by the model's reply alone and by both merged (``rules``, ``model``,
+    ``hybrid``), one row for each field that any found; the model is asked once a text."""
+    return side_by_side(models.replies(docs, extractor, text_col), id_col, text_col)
+
+
+def side_by_side(asked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``compare`` of documents whose ``reply`` is there."""
+    text, reply = F.col(text_col), F.col("reply")
+    ways = {"rules": reconcile(text, F.lit(None).cast("string"))["entities"], "model": model_alone(text, reply), "hybrid": reconcile(text, reply)["entities"]}
+    kept = lambda c: F.transform(F.filter(c, lambda e: e["value"].isNotNull() & (e["type"] != "ITEM")), lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value")))
+    found = asked.select(id_col, F.array(*(F.struct(F.lit(n).alias("config"), kept(c).alias("found")) for n, c in ways.items())).alias("ways"))
+    long = found.select(id_col, F.explode("ways").alias("w")).select(id_col, "w.config", F.explode("w.found").alias("e"))
+    wide = long.groupBy(id_col, "e.type").pivot("config", list(ways)).agg(F.first("e.value"))
+    return wide.withColumn("differs", ~(F.col("rules").eqNullSafe(F.col("hybrid")) & F.col("rules").eqNullSafe(F.col("model"))))

@@ -45,6 +45,14 @@ def tokens_in_span(tokens: Column, start: Column, end: Column) -> Column:
     return F.filter(tokens, lambda t: (start >= 0) & (end > start) & (start < t["char_end"]) & (end > t["char_start"]))
 
 
+def place_of(tokens: Column, start: Column, end: Column) -> Column:
+    """Where a span stands on the page: (``box``, ``lines``) of the tokens (char_start,
+    char_end, line, points) that overlap it, lines distinct and sorted; null if none does."""
+    own = tokens_in_span(tokens, start, end)
+    lines = F.array_sort(F.array_distinct(F.transform(own, lambda t: t["line"])))
+    return F.when(F.size(own) > 0, F.struct(bounding_box(F.flatten(F.transform(own, lambda t: t["points"]))).alias("box"), lines.alias("lines")))
+
+
 def drop_overlaps(spans: Column, kind: str = "array<struct<start:int,end:int>>") -> Column:
     """Spans (start, end, ...) by start, longer first, without those that start inside one kept."""
     ordered = F.array_sort(spans, lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.signum((b["end"] - b["start"]) - (a["end"] - a["start"]))).cast("int"))

@@ -49,6 +49,13 @@ def averages(counts: DataFrame) -> DataFrame:
     return micro.join(F.broadcast(macro))
 
 
+def pooled(counts: DataFrame) -> DataFrame:
+    """One row: ``labelled``, and the shares of all labelled values that match exactly
+    and loosely, so that a field with more labels weighs more; null without labels."""
+    share = lambda c: F.try_divide(F.sum(c).cast("double"), F.sum("labelled").cast("double")).alias(f"{c}_share")
+    return counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"), share("exact"), share("fuzzy"))
+
+
 def ranking(ranked: DataFrame, query: str = "query_id", rank: str = "rank", relevant: str = "relevant", k: int = 5) -> DataFrame:
     """One row: ``hit_at_1``, ``hit_at_k`` (any relevant among the first k) and ``mrr``."""
     first = ranked.groupBy(query).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("first"))
@@ -70,6 +77,13 @@ def best_route(grid: DataFrame, score: str = "exact", order: str = "route_id") -
     return grid.orderBy(F.desc(score), order).limit(1)
 
 
+def frozen_route(train: DataFrame, test: DataFrame, score: str = "exact", order: str = "route_id") -> DataFrame:
+    """The route chosen on ``train`` alone, with its figures there and on ``test``
+    (``train_...``, ``test_...``; null if ``test`` lacks the route)."""
+    chosen = best_route(train, score, order).select(order, F.col(score).alias(f"train_{score}"))
+    return chosen.join(test.select(order, F.col(score).alias(f"test_{score}")), order, "left")
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
@@ -86,6 +100,12 @@ def recoverable(field: Column, truth: Column, text: Column) -> Column:
     return F.coalesce(some & F.when(field == "total", total).when(field == "date", date).otherwise(near), F.lit(False))
 
 
+def recoverability(df: DataFrame, field: str = "field", truth: str = "truth", text: str = "text") -> DataFrame:
+    """Of each field, how many values are labelled and how many of them the text holds."""
+    held = df.withColumn("__held", recoverable(F.col(field), F.col(truth), F.col(text)))
+    return held.groupBy(field).agg(F.count_if(F.trim(truth) != "").alias("labelled"), F.count_if("__held").alias("recoverable"))
+
+
 def retrieval_task(addresses: DataFrame, places: DataFrame, address: str = "address", place: str = "place") -> DataFrame:
     """Queries and the addresses that hold them: ``place``, ``relevant`` (sorted). Places
     of four letters or more; of those with the same addresses, the longest name stays.

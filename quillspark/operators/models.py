@@ -95,6 +95,13 @@ def read_images(images: DataFrame, reader: Reader, content: str = "content") ->
     return images.mapInArrow(run, T.StructType([*(images.schema[n] for n in names), T.StructField("boxes", T.ArrayType(box))]))
 
 
+def mean_confidence(boxes: Column, least: float = 0.30) -> Column:
+    """Mean confidence of the accepted boxes, 0 if there is none."""
+    kept = F.filter(boxes, lambda b: b["conf"] >= least)
+    total = F.aggregate(kept, F.lit(0.0), lambda acc, b: acc + b["conf"])
+    return F.coalesce(F.try_divide(total, F.size(kept)), F.lit(0.0))
+
+
 def best_variant(variants: DataFrame, keys: list[str], boxes: str = "boxes", order: str = "variant_order", least: float = 0.30) -> DataFrame:
     """Of several readings of an image, the one whose accepted boxes have the largest
     sum of confidences; the first of equals. Adds ``score``."""

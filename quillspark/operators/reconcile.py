@@ -305,3 +305,13 @@ def reconcile(text: pd.Series, reply: pd.Series) -> pd.DataFrame:
 
 #: Marked so that a filter or a second use of its result does not run it again.
 reconcile = reconcile.asNondeterministic()
+
+
+@F.pandas_udf(T.ArrayType(READING))
+def model_alone(text: pd.Series, reply: pd.Series) -> pd.Series:
+    """Entities of a model's raw reply without the rules, absent types included."""
+    docs = (resolve(t, K.parse_json(r) if r is not None else None, False, expect_model=True) for t, r in zip(text, reply, strict=True))
+    return pd.Series([[vars(e) for e in d.rows()] for d in docs])
+
+
+model_alone = model_alone.asNondeterministic()

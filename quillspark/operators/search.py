@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quillspark.functions import kernels as K
 from quillspark.functions import text as X
 from quillspark.functions import vocabulary as V
+from quillspark.operators import intervals
 
 #: Least spelling similarity; least cosine for encoders without one of their own; candidates kept (fixed values).
 SPELLING, MEANING, CANDIDATES = 0.72, 0.60, 10
@@ -40,6 +41,16 @@ def hits(entities: DataFrame, mode: str) -> DataFrame:
     return entities.select(*(c for c in names if c in entities.columns), F.lit(mode).alias("match"))
 
 
+def by_document(found: DataFrame, documents: DataFrame, text_col: str = "ocr_text") -> DataFrame:
+    """Hits regrouped: a row for each document with its ``hits`` by entity id, and its
+    text with them marked. Only documents with hits are read beyond their id."""
+    columns = [c for c in found.columns if c not in ("doc_id", "filename")]
+    hit = F.struct("entity_id", *(c for c in columns if c != "entity_id"))
+    grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    text = documents.select(F.col("id").alias("doc_id"), "filename", F.col(text_col).alias("__text"))
+    return grouped.join(text, "doc_id").withColumn("marked", intervals.apply_spans(F.col("__text"), F.col("hits"))).drop("__text")
+
+
 def exact(entities: DataFrame, query: str) -> DataFrame:
     return entities.filter(F.col("value_norm") == K.key(query))
 

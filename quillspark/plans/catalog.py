@@ -9,10 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark import api
 from quillspark.functions import kernels as K
 from quillspark.functions import text as X
 from quillspark.functions import vocabulary as V
-from quillspark.operators import extract, intervals, metrics, search
+from quillspark.operators import extract, intervals, metrics, models, search
 from quillspark.operators.reconcile import reconcile
 from quillspark.plans.receipts import EXPECTED, receipts, table
 from quillspark.sources import files, store
@@ -176,9 +177,10 @@ def full_outer_merge(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 <> 3")
 def cascade_delete(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    gone = table(spark, d, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("doc_id"))
-    return o.join(gone, F.col("o_custkey") == F.col("doc_id"), "left_anti")
+    documents = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    entities = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id"))
+    gone = documents.filter("id % 10 = 3").select(F.col("id").alias("doc_id"))
+    return store.cascade(documents, entities, gone)[1].withColumnRenamed("doc_id", "o_custkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -189,7 +191,7 @@ def upsert_by_key(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 100")
 def newest_documents(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_orderkey")).limit(100)
+    return store.newest(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
 @query("""SELECT o_orderkey, o_orderstatus, CASE WHEN n IS NULL THEN 'stem' ELSE 'name' END AS by_what FROM orders
@@ -213,8 +215,8 @@ def _labelled(o: DataFrame) -> DataFrame:
 @query("SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n = 1")
 def variant_argmax(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "value", "event_id")
-    best = e.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value", "event_id"), F.struct("value", -F.col("event_id"))).alias("b"))
-    return best.select("user_id", "b.*")
+    boxes = F.array(F.struct(F.col("value").cast("double").alias("conf")))
+    return models.best_variant(e.withColumn("boxes", boxes), ["user_id"], order="event_id", least=float("-inf")).select(e.columns)
 
 
 @query("SELECT p_brand, median(p_size) AS height FROM part GROUP BY p_brand")
@@ -348,12 +350,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 def compare_configurations(spark, d):
     """Fields by rules alone, by a model's reply alone, and merged, side by side."""
     reply = F.to_json(F.struct(F.col("total").cast("double").alias("total"), F.lower("merchant").alias("merchant"), F.col("iso_date").alias("date")))
-    r = receipts(spark, d).select("doc_id", "text", reply.alias("reply"))
-    take = lambda c: F.transform(F.filter(c, lambda e: e["value"].isNotNull() & (e["type"] != "ITEM")), lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value")))
-    both = r.select("doc_id", take(reconcile(F.col("text"), F.lit(None).cast("string"))["entities"]).alias("rules"), take(reconcile(F.col("text"), F.col("reply"))["entities"]).alias("hybrid"), F.get_json_object("reply", "$.merchant").alias("m"))
-    long = both.select("doc_id", F.lit("rules").alias("config"), F.explode("rules").alias("e")).unionByName(both.select("doc_id", F.lit("hybrid").alias("config"), F.explode("hybrid").alias("e")))
-    wide = long.select("doc_id", "config", "e.*").groupBy("doc_id", "type").pivot("config", ["rules", "hybrid"]).agg(F.first("value"))
-    return wide.withColumn("differs", ~F.col("rules").eqNullSafe(F.col("hybrid")))
+    return api.side_by_side(receipts(spark, d).select("doc_id", "text", reply.alias("reply")))
 
 
 # -- search and vectors
@@ -469,3 +466,38 @@ def similarity_pairs(spark, d):
     s = table(spark, d, "supplier")
     pairs = s.withColumn("next", F.lead("s_name").over(Window.partitionBy(F.col("s_nationkey")).orderBy("s_suppkey"))).filter("next IS NOT NULL")
     return pairs.select("s_suppkey", F.round(K.similarity_udf(F.col("s_name"), F.col("next")), 6).alias("whole"), F.round(K.partial_similarity_udf(F.col("s_name"), F.col("next")), 6).alias("best"))
+
+
+@query("SELECT count(*) AS labelled, 1.0 * count(*) FILTER (l_linestatus = 'O') / count(*) AS exact_share, 1.0 * count(*) FILTER (l_returnflag <> 'R') / count(*) AS fuzzy_share FROM lineitem")
+def pooled_ratio(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("labelled"), F.count_if(F.col("l_linestatus") == "O").alias("exact"), F.count_if(F.col("l_returnflag") != "R").alias("fuzzy"))
+    return metrics.pooled(rows)
+
+
+@query("SELECT count(embedding) AS embedded FROM embeddings")
+def embedded_vectors(spark, d):
+    return store.embedded_total(table(spark, d, "embeddings"))
+
+
+@query("SELECT l_orderkey, round(coalesce(avg(l_discount) FILTER (l_discount >= 0.03), 0), 9) AS mean FROM lineitem GROUP BY l_orderkey")
+def mean_confidence(spark, d):
+    boxes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_discount").cast("double").alias("conf"))).alias("boxes"))
+    return boxes.select("l_orderkey", F.round(models.mean_confidence(F.col("boxes"), 0.03), 9).alias("mean"))
+
+
+@query("""SELECT l_orderkey, min(l_quantity)::INT AS left, min(l_linenumber)::INT AS top, max(l_quantity)::INT AS right, max(l_linenumber)::INT AS bottom, array_to_string(list_sort(list(DISTINCT l_linenumber::INT)), ',') AS lines
+FROM lineitem WHERE l_linenumber * 10 < 35 AND l_linenumber * 10 + 8 > 15 GROUP BY l_orderkey""")
+def place_of_span(spark, d):
+    n = F.col("l_linenumber").cast("int")
+    token = F.struct((n * 10).alias("char_start"), (n * 10 + 8).alias("char_end"), n.alias("line"), F.array(F.struct(F.col("l_quantity").cast("double").alias("x"), n.cast("double").alias("y"))).alias("points"))
+    pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(token).alias("tokens"))
+    at = pages.select("l_orderkey", intervals.place_of(F.col("tokens"), F.lit(15), F.lit(35)).alias("at")).filter("at IS NOT NULL")
+    return at.select("l_orderkey", "at.box.*", F.array_join("at.lines", ",").alias("lines"))
+
+
+@query("SELECT o_custkey AS doc_id, any_value(c_name) AS filename, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS ids, '[[' || any_value(c_name)[1:8] || ']]' || any_value(c_name)[9:] AS marked FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
+def hits_by_document(spark, d):
+    documents = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("filename"), F.col("c_name").alias("ocr_text"))
+    found = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("entity_id"), F.lit(0).alias("start"), F.lit(8).alias("end"))
+    out = search.by_document(found, documents)
+    return out.select("doc_id", "filename", F.array_join(F.transform("hits", lambda h: h["entity_id"].cast("string")), ",").alias("ids"), "marked")

@@ -40,6 +40,10 @@ def cascade(documents: DataFrame, entities: DataFrame, ids: DataFrame) -> tuple[
     return documents.join(ids, documents["id"] == ids["doc_id"], "left_anti"), entities.join(ids, "doc_id", "left_anti")
 
 
+def newest(documents: DataFrame, limit: int = 100, id_col: str = "id") -> DataFrame:
+    return documents.orderBy(F.desc(id_col)).limit(limit)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -127,7 +131,7 @@ class Store:
         return self.table("entities").filter(F.col("doc_id") == doc_id).orderBy(F.col("value").isNull(), "start", "id")
 
     def list_documents(self, limit: int = 100) -> DataFrame:
-        return self.table("documents").orderBy(F.desc("id")).limit(limit)
+        return newest(self.table("documents"), limit)
 
     # -- settings and figures
 
@@ -160,6 +164,11 @@ def entity_totals(entities: DataFrame) -> DataFrame:
     return entities.agg(F.count_if(F.col("value").isNotNull()).alias("found"), F.count_if(F.col("value").isNull()).alias("absent"))
 
 
+def embedded_total(entities: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One row: ``embedded``, the entities that have a vector."""
+    return entities.agg(F.count_if(F.col(vector).isNotNull()).alias("embedded"))
+
+
 def entities_by_type(entities: DataFrame) -> DataFrame:
     """Found and absent of each type in one pass, most found first."""
     return entities.groupBy("type").agg(F.count_if(F.col("value").isNotNull()).alias("found"), F.count_if(F.col("value").isNull()).alias("absent")).orderBy(F.desc("found"), "type")

@@ -193,3 +193,71 @@ def test_store_pointer_is_never_missing(spark, tmp_path):
     assert s.setting("k") == "2" and s._pointers() == [2, 1]
     s.vacuum()
     assert s.setting("k") == "2" and s._pointers() == [2]
+
+
+def test_pooled_ratios_weigh_by_labels(spark):
+    counts = spark.createDataFrame([("a", 8, 4, 6), ("b", 2, 2, 2), ("c", 0, 0, 0)], "field string, labelled long, exact long, fuzzy long")
+    assert tuple(metrics.pooled(counts).first()) == (10, 0.6, 0.8)
+    assert tuple(metrics.pooled(counts.filter("labelled = 0")).first()) == (0, None, None)
+    assert tuple(metrics.pooled(counts.limit(0)).first()) == (0, None, None)
+
+
+def test_route_is_chosen_on_train_alone(spark):
+    grid = lambda *rows: spark.createDataFrame(rows, "route_id int, exact double")
+    assert metrics.frozen_route(grid((1, 0.5), (2, 0.9), (3, 0.9)), grid((1, 1.0), (2, 0.1), (3, 0.7))).collect() == [(2, 0.9, 0.1)]
+    assert metrics.frozen_route(grid((2, 0.9)), grid((1, 1.0))).collect() == [(2, 0.9, None)]
+
+
+def test_recoverable_values_are_counted(spark):
+    rows = [("total", "12.50", "TOTAL 12.50"), ("total", "9.99", "TOTAL 12.50"), ("total", None, "TOTAL 12.50"), ("date", "01/02/2018", "on 01/02/2018")]
+    got = metrics.recoverability(spark.createDataFrame(rows, "field string, truth string, text string")).collect()
+    assert sorted(map(tuple, got)) == [("date", 1, 1), ("total", 2, 1)]
+
+
+def test_mean_confidence(spark):
+    rows = spark.createDataFrame([(0, [(0.4,), (0.8,), (0.1,)]), (1, [(0.1,)]), (2, []), (3, None)], "i int, b array<struct<conf:double>>")
+    got = [r.m for r in rows.orderBy("i").select(models.mean_confidence(F.col("b")).alias("m")).collect()]
+    assert got == [pytest.approx(0.6), 0.0, 0.0, 0.0]
+
+
+def test_place_of_a_span(spark):
+    kind = "i int, t array<struct<char_start:int,char_end:int,line:int,points:array<struct<x:double,y:double>>>>"
+    tokens = [(0, 5, 3, [(1.0, 2.0), (9.0, 4.0)]), (6, 9, 1, [(0.0, 7.0)]), (10, 12, 3, [(50.0, 50.0)])]
+    at = lambda s, e: spark.createDataFrame([(1, tokens)], kind).select(intervals.place_of(F.col("t"), F.lit(s), F.lit(e)).alias("at")).first()[0]
+    found = at(2, 8)
+    assert (tuple(found.box), found.lines) == ((0, 2, 9, 7), [1, 3])
+    assert at(-1, -1) is None and at(5, 6) is None
+
+
+def test_hits_by_document(spark):
+    documents = spark.createDataFrame([(1, "a", "milk and tea"), (2, "b", "none")], "id long, filename string, ocr_text string")
+    found = spark.createDataFrame([(1, 7, "tea", 9, 12), (1, 3, "milk", 0, 4), (1, 9, "lost", -1, -1)], "doc_id long, entity_id long, value string, start int, end int")
+    rows = search.by_document(found, documents).collect()
+    assert [(r.doc_id, r.filename, [h.entity_id for h in r.hits], r.marked) for r in rows] == [(1, "a", [3, 7, 9], "[[milk]] and [[tea]]")]
+
+
+def test_reindex_records_the_encoder(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    docs = spark.createDataFrame([(1, "SYARIKAT MAJU SDN BHD\nNO 5 JALAN BESAR\n50000 KUALA LUMPUR\nTOTAL 5.00")], "doc_id long, text string")
+    api.ingest(s, api.process(docs))
+    n = api.reindex(s, search.hashing_encoder(8), "hash-8")
+    assert n > 0 and (s.setting("encoder"), s.setting("encoder_dim")) == ("hash-8", "8")
+    assert api.reindex(s, search.hashing_encoder(16), "hash-16") == n and s.setting("encoder_dim") == "16"
+    assert {len(r.embedding) for r in s.table("entities").filter("embedding IS NOT NULL").collect()} == {16}
+
+
+def test_labelled_images_into_the_store(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("a.png", bytearray(b"TOTAL 5.00"), {"total": "5.00"})], "filename string, content binary, truth map<string,string>")
+    reader = lambda images: [[{"x": 0.0, "y": 0.0, "height": 9.0, "text": bytes(x).decode(), "conf": 0.9}] for x in images]
+    got = api.dataset(s, rows, reader).collect()
+    assert [(r.path, r.truth["total"], r.fields.total) for r in got] == [("dataset/a.png", "5.00", "5.00")]
+    assert [r.path for r in s.list_documents().collect()] == ["dataset/a.png"]
+
+
+def test_three_configurations(spark):
+    docs = spark.createDataFrame([(1, "KEDAI MAJU SDN BHD\nTOTAL 5.00")], "doc_id long, text string")
+    rows = {r.type: r for r in api.compare(docs, lambda texts: [json.dumps({"date": "2018-02-01", "total": 5}) for _ in texts]).collect()}
+    assert (rows["TOTAL"].rules, rows["TOTAL"].model, rows["TOTAL"].hybrid, rows["TOTAL"].differs) == ("5.00", "5.00", "5.00", False)
+    assert rows["DATE"].rules is None and rows["DATE"].model and rows["DATE"].differs
+    assert rows["MERCHANT"].model is None and rows["MERCHANT"].rules
