@@ -194,19 +194,9 @@ def newest_documents(spark, d):
     return store.newest(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
-@query("""SELECT o_orderkey, o_orderstatus, CASE WHEN n IS NULL THEN 'stem' ELSE 'name' END AS by_what FROM orders
-LEFT JOIN (SELECT o_orderkey AS k, 1 AS n FROM orders WHERE o_orderkey % 2 = 0) ON k = o_orderkey WHERE o_orderkey % 3 = 0""")
-def label_lookup(spark, d):
-    return _labelled(table(spark, d, "orders").filter("o_orderkey % 3 = 0"))
-
-
 @query("""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'name' ELSE 'stem' END AS by_what FROM orders""")
-def label_lookup_whole(spark, d):
-    return _labelled(table(spark, d, "orders"))
-
-
-def _labelled(o: DataFrame) -> DataFrame:
-    names = o.select(F.concat(F.lit("r"), "o_orderkey", F.lit(".png")).alias("filename"), "o_orderkey", "o_orderstatus")
+def label_lookup(spark, d):
+    names = table(spark, d, "orders").select(F.concat(F.lit("r"), "o_orderkey", F.lit(".png")).alias("filename"), "o_orderkey", "o_orderstatus")
     even, odd = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 2 != 0
     labels = names.filter(even).select("filename", F.lit("name").alias("by_what")).unionByName(names.filter(odd).select(F.regexp_replace("filename", ".png", "").alias("filename"), F.lit("stem").alias("by_what")))
     return files.with_labels(names, labels).select("o_orderkey", "o_orderstatus", "by_what")
@@ -238,37 +228,28 @@ def span_overlap(spark, d):
     return spans.select("k", "span", F.size(intervals.tokens_in_span(F.col("tokens"), F.col("span") * 7, F.col("span") * 7 + 10)).cast("long").alias("tokens")).filter("tokens > 0")
 
 
-@query("""WITH RECURSIVE s AS (SELECT o_custkey AS k, CAST(o_orderkey % 97 AS INTEGER) AS a, CAST(o_orderkey % 97 + 5 + o_orderkey % 11 AS INTEGER) AS b FROM orders WHERE o_custkey < 200),
+@query("""WITH RECURSIVE s AS (SELECT o_custkey AS k, CAST(o_orderkey % 97 AS INTEGER) AS a, CAST(o_orderkey % 97 + 5 + o_orderkey % 11 AS INTEGER) AS b FROM orders),
 n AS (SELECT k, a, b, row_number() OVER (PARTITION BY k ORDER BY a, b DESC) AS i FROM s),
 f AS (SELECT k, i, a, b, b AS last, true AS kept FROM n WHERE i = 1
   UNION ALL SELECT n.k, n.i, n.a, n.b, CASE WHEN n.a >= f.last THEN n.b ELSE f.last END, n.a >= f.last FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1)
 SELECT k, a, b FROM f WHERE kept""")
 def drop_overlaps(spark, d):
-    return _without_overlaps(table(spark, d, "orders").filter("o_custkey < 200"))
-
-
-@query()
-def drop_overlaps_whole(spark, d):
-    return _without_overlaps(table(spark, d, "orders"))
-
-
-def _without_overlaps(o: DataFrame) -> DataFrame:
     a = (F.col("o_orderkey") % 97).cast("int")
-    s = o.select(F.col("o_custkey").alias("k"), F.struct(a.alias("start"), (a + 5 + (F.col("o_orderkey") % 11)).cast("int").alias("end")).alias("s"))
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.struct(a.alias("start"), (a + 5 + (F.col("o_orderkey") % 11)).cast("int").alias("end")).alias("s"))
     kept = s.groupBy("k").agg(F.collect_list("s").alias("s")).select("k", F.explode(intervals.drop_overlaps(F.col("s"))).alias("x"))
     return kept.select("k", F.col("x.start").alias("a"), F.col("x.end").alias("b"))
 
 
-@query("SELECT p_partkey, substring(p_name, 1, 2) || '[[' || substring(p_name, 3, 4) || ']]' || substring(p_name, 7) AS marked FROM part WHERE length(p_name) >= 6")
+@query("SELECT p_partkey, substring(p_name, 1, 2) || '[[' || substring(p_name, 3, 4) || ']]' || substring(p_name, 7) AS marked FROM part")
 def highlight(spark, d):
     spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((2, 6), (3, 5), (-1, 2), (4, 4))))
-    return table(spark, d, "part").filter("length(p_name) >= 6").select("p_partkey", intervals.apply_spans(F.col("p_name"), spans).alias("marked"))
+    return table(spark, d, "part").select("p_partkey", intervals.apply_spans(F.col("p_name"), spans).alias("marked"))
 
 
-@query("""SELECT p_partkey, '&lt;' || substring(p_name, 1, 2) || '<mark class="ent ent-ITEM" title="ITEM (0.60)">' || substring(p_name, 3, 4) || '</mark>' || substring(p_name, 7) || '<br>' || chr(10) AS html FROM part WHERE length(p_name) >= 6""")
+@query("""SELECT p_partkey, '&lt;' || substring(p_name, 1, 2) || '<mark class="ent ent-ITEM" title="ITEM (0.60)">' || substring(p_name, 3, 4) || '</mark>' || substring(p_name, 7) || '<br>' || chr(10) AS html FROM part""")
 def highlight_page(spark, d):
     spans = F.array(F.struct(F.lit(3).alias("start"), F.lit(7).alias("end"), F.lit("ITEM").alias("type"), F.lit(0.6).alias("confidence")))
-    return table(spark, d, "part").filter("length(p_name) >= 6").select("p_partkey", intervals.highlight_html(F.concat(F.lit("<"), F.col("p_name"), F.lit("\n")), spans).alias("html"))
+    return table(spark, d, "part").select("p_partkey", intervals.highlight_html(F.concat(F.lit("<"), F.col("p_name"), F.lit("\n")), spans).alias("html"))
 
 
 @query("SELECT l_orderkey, min(CAST(l_quantity AS INTEGER)) AS x0, min(CAST(l_partkey AS INTEGER)) AS y0, max(CAST(l_quantity AS INTEGER)) AS x1, max(CAST(l_partkey AS INTEGER)) AS y1 FROM lineitem GROUP BY l_orderkey")
@@ -297,38 +278,19 @@ def rule_extract_fields(spark, d):
     return found.select("doc_id", "f.merchant", "f.date", "f.subtotal", "f.tax", "f.total", "f.invoice_no", "f.payment_method")
 
 
-@query("WITH" + EXPECTED + """
-SELECT doc_id, CAST(total AS VARCHAR) AS total, CASE WHEN doc_id % 7 = 0 THEN 'arithmetic' ELSE 'rule' END AS source, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_warnings
-FROM expected WHERE doc_id % 7 <> 0 OR CAST(total + 100 AS DECIMAL(18,2)) > ceil(CAST(total AS DECIMAL(18,2)) / 50) * 50 + 50 + 0.05""")
-def reconcile_arithmetic(spark, d):
-    return _totals(receipts(spark, d).filter("doc_id % 7 != 0 OR printed_total > paid + 0.05"))
-
-
 @query()
-def reconcile_arithmetic_whole(spark, d):
-    """Wrongly printed totals that the payment does not contradict are among them."""
-    return _totals(receipts(spark, d))
-
-
-def _totals(r: DataFrame) -> DataFrame:
-    r = r.select("doc_id", reconcile(F.col("text"), F.lit(None).cast("string")).alias("r"))
+def reconcile_arithmetic(spark, d):
+    """Total, its source and the warnings of every receipt, wrongly printed totals that
+    the payment does not contradict among them."""
+    r = receipts(spark, d).select("doc_id", reconcile(F.col("text"), F.lit(None).cast("string")).alias("r"))
     total = F.try_element_at(F.filter("r.entities", lambda e: e["type"] == "TOTAL"), F.lit(1))
     return r.select("doc_id", total["value"].alias("total"), total["source"].alias("source"), F.size("r.warnings").alias("n_warnings"))
 
 
 @query("WITH" + EXPECTED + """
-SELECT kind, count(*) AS n FROM expected CROSS JOIN (SELECT unnest(['CASHIER', 'CURRENCY', 'TAX_ID', 'TIME']) AS kind) WHERE doc_id % 7 <> 0 GROUP BY kind""")
+SELECT kind, count(*) AS n FROM expected CROSS JOIN (SELECT unnest(['CASHIER', 'CURRENCY', 'TAX_ID', 'TIME']) AS kind) GROUP BY kind""")
 def absent_rows(spark, d):
-    return _absent(receipts(spark, d).filter("doc_id % 7 != 0"))
-
-
-@query()
-def absent_rows_whole(spark, d):
-    return _absent(receipts(spark, d))
-
-
-def _absent(r: DataFrame) -> DataFrame:
-    r = r.select("doc_id", F.explode(reconcile(F.col("text"), F.lit(None).cast("string"))["entities"]).alias("e"))
+    r = receipts(spark, d).select("doc_id", F.explode(reconcile(F.col("text"), F.lit(None).cast("string"))["entities"]).alias("e"))
     return r.filter("e.value IS NULL").groupBy(F.col("e.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
