@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -77,6 +78,35 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: The C library's call that returns free memory to the system, where it has one.
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with free memory returned to the system after each batch and at the end:
+    workers are reused, and would keep what one stage freed while others need it."""
+
+    def returning(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield part
+            del part
+            _give_back()
+
+    def thrifty_run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(returning(parts))
+        finally:
+            _give_back()
+
+    return thrifty_run
+
+
 def pieces(parts: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose strings of column ``at`` have about so many bytes
     (at least a row), so that what a worker holds beside a batch does not grow with it."""

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import few, release, written
+from quillspark.llm.common import few, pieces, release, thrifty, written
 from quillspark.llm.graph import components
 
 WORDS, THRESHOLD, K = 5, 75, 48
@@ -93,13 +93,13 @@ def shingle_set(text: str, known: dict[bytes, int], words: int = WORDS) -> np.nd
 def _signatures(k: int, words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for part in parts:
+        for part in pieces(parts, 1):
             sizes, digests, sketches = [], [], []
             for x in part.column(1):
                 found = shingle_set(x.as_py() or "", known, words)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sketches.append(np.unique((found >> 32).astype(np.int32))[:k])
+                sketches.append(np.unique((found >> 32).astype(np.int32))[:k].copy())
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
             values = np.concatenate([*sketches, np.zeros(0, dtype=np.int32)])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_shingles", "digest", "sketch"])
@@ -161,7 +161,7 @@ def completed(lists: DataFrame, groups: DataFrame, wide: DataFrame, threshold: i
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "estimate", "more"])
 
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = dealt.mapInArrow(compare, "a long, b long, estimate double, more boolean")
+    pairs = dealt.mapInArrow(thrifty(compare), "a long, b long, estimate double, more boolean")
     return pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("more").alias("more"))
 
 
@@ -300,14 +300,14 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int, k: int | None) -> DataFra
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         bits = sent.value
-        for part in parts:
+        for part in pieces(parts, 2):
             h = part.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)
             part = part.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             out, sizes, held = [], [], 0
             for row, x in enumerate(part.column(2)):
                 found = shingle_set(x.as_py() or "", known, words)
                 sizes.append(len(found))
-                out.append(np.unique((found >> 32).astype(np.int32))[:k] if k else found.tobytes())
+                out.append(np.unique((found >> 32).astype(np.int32))[:k].copy() if k else found.tobytes())
                 held += out[-1].nbytes if k else len(out[-1])
                 if held > _BYTES:
                     yield pa.RecordBatch.from_arrays([part.column(0)[row + 1 - len(out) : row + 1], pa.array(sizes, pa.int64()), pa.array(out, kind)], names)
@@ -315,7 +315,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int, k: int | None) -> DataFra
             yield pa.RecordBatch.from_arrays([part.column(0)[part.num_rows - len(out) :], pa.array(sizes, pa.int64()), pa.array(out, kind)], names)
 
     names = ["rep", "n", "sketch" if k else "s"]
-    return written(texts.mapInArrow(run, f"rep long, n long, {'sketch array<int>' if k else 's binary'}"))
+    return written(texts.mapInArrow(thrifty(run), f"rep long, n long, {'sketch array<int>' if k else 's binary'}"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) -> DataFrame:
@@ -333,7 +333,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, words: int) ->
     full = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, words, None)
     one = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
     two = one.join(full.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    sure = written(two.mapInArrow(compare, "a long, b long"))
+    sure = written(two.mapInArrow(thrifty(compare), "a long, b long"))
     release(full)
     return sure
 
@@ -359,7 +359,7 @@ def _joined(pairs: DataFrame, texts: DataFrame, threshold: int, words: int, grou
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = WORDS, k: int = K) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = written(rows.mapInArrow(_signatures(k, words), "doc_id long, n_shingles long, digest binary, sketch array<int>"))
+    base = written(rows.mapInArrow(thrifty(_signatures(k, words)), "doc_id long, n_shingles long, digest binary, sketch array<int>"))
     classes = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     copies = written(classes.filter("size > 1").select("digest", "rep"))
     classed = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(copies, "digest", "left")

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import pieces
+from quillspark.llm.common import pieces, thrifty
 
 MARK = "▁"
 #: Words and pairs that one process remembers.
@@ -216,7 +216,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per input row: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_batches(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(thrifty(_batches(path)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -239,4 +239,4 @@ def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)

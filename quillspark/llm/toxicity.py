@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import pieces
+from quillspark.llm.common import pieces, thrifty
 
 #: Labelled rows of each grade that the fit reads at most; features kept at most; share of the sample that a feature must be in (five documents at least).
 PER_GRADE, MAX_FEATURES, MIN_SHARE = 3_000, 20_000, 0.003
@@ -131,7 +131,7 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.string()))], ["grade", "names"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(names, "grade int, names array<string>")
+    found = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(thrifty(names), "grade int, names array<string>")
     return [(r.grade, r.names) for r in found.toLocalIterator()]
 
 
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, expected_severity double, grade int, p_toxic double, toxic boolean")
+    return rows.mapInArrow(thrifty(run), f"doc_id {kind}, expected_severity double, grade int, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for part in pieces(parts, at):
             yield part.filter(pa.array([not judge(x.as_py() or "")[3] for x in part.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def severity() -> Column:
