@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import thrifty, written
 
 #: Bytes of a context; bytes of the contexts whose subtrees are mixed in one task.
 DEPTH, TOP = 6, 2
@@ -430,12 +430,12 @@ def logs_of(chunks: DataFrame) -> DataFrame:
     """``chunk``, ``logs``: of each chunk's distinct keys, by bucket, the log10
     probability of the byte after its context under the tree of all training documents."""
     read = chunks.select("chunk", "held_out", "offsets", "data")
-    grams = read.mapInArrow(_grams(True), "chunk long, bucket int, grams binary, n binary")
+    grams = read.mapInArrow(thrifty(_grams(True)), "chunk long, bucket int, grams binary, n binary")
     mixed = written(grams.select("bucket", "grams", "n").groupBy("bucket").applyInArrow(_mixed, "bucket int, grams binary, bits binary, decision long, a double, b double, w double"))
     top = mixed.filter("decision IS NOT NULL").groupBy("decision").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()  # 256 * 255 rows at most
     sent = chunks.sparkSession.sparkContext.broadcast(_above(*(top.column(k).to_numpy() for k in range(4))))
     subtrees = mixed.filter("bits IS NOT NULL").select("bucket", "grams", "bits")
-    asked = read.mapInArrow(_grams(False), "chunk long, bucket int, grams binary")
+    asked = read.mapInArrow(thrifty(_grams(False)), "chunk long, bucket int, grams binary")
     found = asked.groupBy("bucket").cogroup(subtrees.groupBy("bucket")).applyInArrow(_logs(sent), "chunk long, bucket int, s binary")
     return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "s")).alias("logs"))
 
@@ -506,8 +506,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks(chunk), f"chunk long, ids array<{kind}>, held_out array<boolean>, offsets array<long>, data binary"))
-    words = chunks.select("chunk", "held_out", "offsets", "data").mapInArrow(_words, "chunk long, i int, h long, n long")
+    chunks = written(rows.mapInArrow(thrifty(_chunks(chunk)), f"chunk long, ids array<{kind}>, held_out array<boolean>, offsets array<long>, data binary"))
+    words = chunks.select("chunk", "held_out", "offsets", "data").mapInArrow(thrifty(_words), "chunk long, i int, h long, n long")
     # a word has one row for each chunk that holds it, so no word is a hot key
     same = Window.partitionBy("h")
     counts = written(words.withColumn("c", F.sum("n").over(same)).withColumn("one", F.row_number().over(same.orderBy("chunk")) == 1).filter("c > 0").select("chunk", "i", "n", "c", "one"))
@@ -520,4 +520,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return joined.mapInArrow(_scored(total, distinct, ends, out, to_arrow_type(docs.schema[id_col].dataType)), types)
+    return joined.mapInArrow(thrifty(_scored(total, distinct, ends, out, to_arrow_type(docs.schema[id_col].dataType))), types)
