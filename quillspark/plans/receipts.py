@@ -29,7 +29,11 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, ``text`` and the expected fields. Even orders are in Malay; every
     fifth has its decimal points read as dashes; every seventh a wrong total."""
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.upper("s_name"), F.lit(" SDN BHD")).alias("merchant"))
-    o = order_sums(spark, sf_dir).join(suppliers, F.col("suppkey") == F.col("s_suppkey"))
+    # a fixed number of partitions is not coalesced: what is done to each text is far more
+    # than these narrow rows weigh. By a hash of the key: by the key itself they are dealt
+    # already, and the step would be left out
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    o = order_sums(spark, sf_dir).join(suppliers, F.col("suppkey") == F.col("s_suppkey")).repartition(tasks, F.xxhash64("o_orderkey"))
     k = F.col("o_orderkey")
     malay = k % 2 == 0
     label = lambda ms, en: F.when(malay, ms).otherwise(en)
