@@ -13,3 +13,23 @@ tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 @tables
 def test_receipts_are_dealt_over_all_cores(spark):
     assert receipts(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lines_that_differ_in_digits_are_matched_once():
+    from quillspark.operators import extract as X
+
+    text = "KEDAI X SDN BHD\nTarikh: 1{0}/03/2024\nNo. Resit: R-000{0}87\nJumlah Kecil 1{0}1.50\nJUMLAH BESAR 3{0}5.17"
+    wanted = [X.extract(text.format(3))]
+    seen = X._remembered.cache_info().misses
+    wanted += [X.extract(text.format(4)), X.extract(text.format(5))]
+    assert X._remembered.cache_info().misses == seen
+    got = [{e.type: e.value for e in x} for x in wanted]
+    assert [x["DATE"] for x in got] == ["2024-03-13", "2024-03-14", "2024-03-15"]
+    assert [x["INVOICE_NO"] for x in got] == ["R-000387", "R-000487", "R-000587"]
+    assert [(x["SUBTOTAL"], x["TOTAL"]) for x in got] == [("131.50", "335.17"), ("141.50", "345.17"), ("151.50", "355.17")]
+
+
+def test_a_phone_of_eight_digits_is_found():
+    from quillspark.operators.extract import extract
+
+    assert [e.value for e in extract("KEDAI X SDN BHD\nNo. 7/B 00072519") if e.type == "PHONE"] == ["00072519"]
