@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions import vocabulary as V
 from quillspark.operators import intervals, models, search
-from quillspark.operators.reconcile import model_alone, reconcile
+from quillspark.operators.reconcile import WAYS, compared, reconcile
 from quillspark.sources.store import Store, embedded_total, upsert
 
 
@@ -77,10 +77,6 @@ def compare(docs: DataFrame, extractor: models.Extractor, id_col: str = "doc_id"
 
 def side_by_side(asked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``compare`` of documents whose ``reply`` is there."""
-    text, reply = F.col(text_col), F.col("reply")
-    ways = {"rules": reconcile(text, F.lit(None).cast("string"))["entities"], "model": model_alone(text, reply), "hybrid": reconcile(text, reply)["entities"]}
-    kept = lambda c: F.transform(F.filter(c, lambda e: e["value"].isNotNull() & (e["type"] != "ITEM")), lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value")))
-    found = asked.select(id_col, F.array(*(F.struct(F.lit(n).alias("config"), kept(c).alias("found")) for n, c in ways.items())).alias("ways"))
-    long = found.select(id_col, F.explode("ways").alias("w")).select(id_col, "w.config", F.explode("w.found").alias("e"))
-    wide = long.groupBy(id_col, "e.type").pivot("config", list(ways)).agg(F.first("e.value"))
+    long = asked.select(id_col, F.explode(compared(F.col(text_col), F.col("reply"))).alias("e")).select(id_col, "e.*")
+    wide = long.groupBy(id_col, "type").agg(*(F.first(n, ignorenulls=True).alias(n) for n in WAYS))
     return wide.withColumn("differs", ~(F.col("rules").eqNullSafe(F.col("hybrid")) & F.col("rules").eqNullSafe(F.col("model"))))

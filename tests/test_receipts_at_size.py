@@ -33,3 +33,17 @@ def test_a_phone_of_eight_digits_is_found():
     from quillspark.operators.extract import extract
 
     assert [e.value for e in extract("KEDAI X SDN BHD\nNo. 7/B 00072519") if e.type == "PHONE"] == ["00072519"]
+
+
+def test_a_comparison_extracts_once(monkeypatch):
+    from quillspark.operators import reconcile as R
+
+    text = "KEDAI ALI SDN BHD\nDate 1/2/2020\nSubtotal 10.00\nTax 0.60\nTotal 10.60"
+    reply = '{"merchant": "kedai ali sdn bhd", "total": 10.6, "date": "2020-02-02"}'
+    calls, real = [], R.extract
+    monkeypatch.setattr(R, "extract", lambda t: calls.append(t) or real(t))
+    got = {x["type"]: tuple(x.get(w) for w in R.WAYS) for x in R.three_ways(text, reply)}
+    assert len(calls) == 1
+    assert got["TOTAL"] == ("10.60", "10.60", "10.60") and got["TAX"] == ("0.60", None, "0.60")
+    assert got["DATE"] == ("2020-02-01", "2020-02-02", "2020-02-01")
+    assert {x["type"] for x in R.three_ways(None, None)} == set()
