@@ -47,3 +47,11 @@ def test_a_comparison_extracts_once(monkeypatch):
     assert got["TOTAL"] == ("10.60", "10.60", "10.60") and got["TAX"] == ("0.60", None, "0.60")
     assert got["DATE"] == ("2020-02-01", "2020-02-02", "2020-02-01")
     assert {x["type"] for x in R.three_ways(None, None)} == set()
+
+
+@tables
+def test_fields_extract_once(spark):
+    from quillspark.plans import catalog
+
+    plan = catalog.rule_extract_fields(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("entities(text") == 1
