@@ -54,4 +54,12 @@ def test_fields_extract_once(spark):
     from quillspark.plans import catalog
 
     plan = catalog.rule_extract_fields(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("entities(text") == 1
+    assert plan.count("entities(") == 1
+
+
+@tables
+def test_flagship_extracts_once(spark):
+    from quillspark.plans import catalog
+
+    plan = catalog.receipts_by_language(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("entities(") == 1
