@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
@@ -214,8 +214,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = written(blocks.join(blocks.groupBy("block").agg(F.min("doc_id").alias("first")), "block").withColumn("n", (F.octet_length("hashes") / HASH_BYTES).cast("int")).withColumn("hashes", F.when(F.col("doc_id") == F.col("first"), F.col("hashes"))).drop("block"))
     # a window's smallest id has it in a block that no smaller id has
     windows = held.filter("hashes IS NOT NULL").select("doc_id", "tid", "start", "hashes").mapInArrow(_windows, "doc_id long, tid long, pos int, h1 long, h2 int")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    single = windows.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "tid", F.struct(F.col("pos").alias("start"), F.lit(1).alias("n")).alias("x"))
+    # one shuffle: most windows are alone, so grouping them first would move nearly all of them twice
+    first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    single = windows.withColumn("first", first).filter("doc_id > first").select("doc_id", "tid", F.struct(F.col("pos").alias("start"), F.lit(1).alias("n")).alias("x"))
     whole = held.filter("doc_id > first").select("doc_id", "tid", F.struct("start", "n").alias("x"))
     gone = whole.unionByName(single).groupBy("doc_id", "tid").agg(F.collect_list("x").alias("starts"))
     joined = rows.join(gone, ["doc_id", "tid"], "left").select("doc_id", "text", "starts")
