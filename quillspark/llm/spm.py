@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from quillspark.llm.common import pieces, thrifty
 
 MARK = "▁"
-#: Words and pairs that one process remembers.
+#: Words that one process remembers: half of them are the newest, and of the half before
+#: those what is asked for again becomes new. Of pairs, up to twice as many.
 REMEMBERED = 200_000
 
 _loaded: dict[str, Codec] = {}
@@ -78,6 +79,7 @@ class Codec:
         self._shorter: dict[str, str] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._words: dict[str, bytes] = {}
+        self._older_pairs, self._older_words = {}, {}
         self._characters = {p for p in self.tokens if len(p) == 1}
 
     def _merged(self, text: str) -> list[str]:
@@ -109,8 +111,11 @@ class Codec:
         found = self._pairs.get((a, b))
         if found is None:
             if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self._merged(a + b) == [a, b]
+                self._older_pairs, self._pairs = self._pairs, {}
+            found = self._older_pairs.get((a, b))
+            if found is None:
+                found = self._merged(a + b) == [a, b]
+            self._pairs[a, b] = found
         return found
 
     def _next_shorter(self, token: str) -> str:
@@ -125,25 +130,31 @@ class Codec:
         """Tokens of a text all of whose characters are pieces."""
         n = len(text)
         longest = [""] * n
-        for end, p in self._automaton.iter(text[::-1]):  # reversed: matches that end at a place are those that start at its mirror
-            k = n - 1 - end
-            if len(p) > len(longest[k]):
-                longest[k] = p
+        last = -1
+        for end, p in self._automaton.iter(text[::-1]):  # reversed: matches that end at a place are those that start at its mirror, the longest first
+            if end != last:
+                longest[n - 1 - end] = p
+                last = end
         fine = bytearray(b"\xff") * (n // 8 + 1)  # a bit for each position: not known to fail
         taken: list[str] = []
-        at, token = 0, longest[0] if n else ""
+        at, token, untried = 0, longest[0] if n else "", True
+        paired, shorter = self._pairs.get, self._shorter.get
         while at < n:
             before = taken[-1] if taken else None
             while token:
-                end = at + len(token)
-                if fine[end >> 3] >> (end & 7) & 1 and (before is None or self._compatible(before, token)):
+                fits = before is None or paired((before, token))
+                if fits is None:
+                    fits = self._compatible(before, token)
+                if fits and (untried or fine[(end := at + len(token)) >> 3] >> (end & 7) & 1):
                     break
-                token = self._next_shorter(token)
+                if (token := shorter(whole := token)) is None:
+                    token = self._next_shorter(whole)
             if token:
                 taken.append(token)
                 at += len(token)
                 token = longest[at] if at < n else ""
             else:
+                untried = False
                 fine[at >> 3] &= ~(1 << (at & 7))
                 if not taken:
                     raise AssertionError("every text of known characters has an encoding")
@@ -154,6 +165,10 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         """Packed ids of one word; a character that is no piece becomes its bytes."""
+        if (known := self._older_words.get(word)) is not None:
+            return self._remember(word, known)
+        if self._characters.issuperset(word):
+            return self._remember(word, array("I", map(self.tokens.__getitem__, self.backtrack(word))).tobytes())
         out = array("I")
         start = 0
         for k, c in enumerate(word):
@@ -162,11 +177,14 @@ class Codec:
                 out.extend(self.bytes[b] for b in c.encode())
                 start = k + 1
         out.extend(self.tokens[t] for t in self.backtrack(word[start:]))
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
+        return self._remember(word, out.tobytes())
+
+    def _remember(self, word: str, packed: bytes) -> bytes:
+        if len(self._words) >= REMEMBERED // 2:
+            self._older_words, self._words = self._words, {}
         if len(word) <= 64:
-            self._words[word] = out.tobytes()
-        return out.tobytes()
+            self._words[word] = packed
+        return packed
 
     def packed(self, text: str) -> bytes:
         """Ids of a whole text without begin and end, as little-endian 32-bit integers."""

@@ -10,3 +10,17 @@ def test_windows_are_shuffled_once(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert sum("MapInArrow _windows(" in line for line in plan.splitlines()) == 1
     assert {r.doc_id: (r.n_words, r.n_removed) for r in kept.collect()} == {3: (63, 60), 1: (63, 0), 2: (0, 0), None: (60, 0)}
+
+
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    import public_tokenizers
+
+    from quillspark.llm import spm
+
+    codec, asked = spm.Codec(public_tokenizers.path("piece_bpe_32k.model")), []
+    real = codec.backtrack
+    monkeypatch.setattr(spm, "REMEMBERED", 8)
+    monkeypatch.setattr(codec, "backtrack", lambda w: asked.append(w) or real(w))
+    text = " ".join(f"word{k} the é漢{k}" for k in range(60))
+    assert codec.encode(text) == codec._library.encode(text)
+    assert asked.count("▁the") == 1
