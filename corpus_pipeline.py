@@ -11,27 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, exact, near_dup, spm, toxicity
-from quillspark.llm.common import release, table, written
+from quillspark.llm.common import relax, release, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity grade is likelier above the lowest than not go."""
+    relax(spark)
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"), toxicity.severity())
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one document stays."""
+    relax(spark)
     return exact.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    relax(spark)
     return near_dup.keep_one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    relax(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     made = ("n_tokens", "ids", "decoded_sha256")
+    relax(spark)
     coded = spm.encode_table(docs, public_tokenizers.path("piece_bpe_32k.model"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "decoded", *made)]
     return coded.select(*rest, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -107,6 +107,13 @@ def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return thrifty_run
 
 
+def relax(spark: SparkSession) -> None:
+    """Has the executors' engines return free heap to the system, so that a stage does not
+    start beside what the one before left. Requests that meet in an executor are one."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def pieces(parts: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose strings of column ``at`` have about so many bytes
     (at least a row), so that what a worker holds beside a batch does not grow with it."""

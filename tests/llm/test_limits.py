@@ -24,3 +24,15 @@ def test_words_in_use_are_not_forgotten(monkeypatch):
     text = " ".join(f"word{k} the é漢{k}" for k in range(60))
     assert codec.encode(text) == codec._library.encode(text)
     assert asked.count("▁the") == 1
+
+
+def test_a_stage_starts_by_giving_back_heap(spark, monkeypatch):
+    import corpus_pipeline
+    from quillspark.llm import common
+
+    common.relax(spark)
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "relax", asked.append)
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [1, 3]
+    assert asked == [spark]
