@@ -25,24 +25,29 @@ Repeated ids give a row each; other columns are not read. No rows, no result.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import thrifty, written
+from quillspark.llm.common import relax, thrifted, thrifty, written
 
 #: Bytes of a context; bytes of the contexts whose subtrees are mixed in one task.
 DEPTH, TOP = 6, 2
+#: Zeros before a text: eight bytes are read together.
+PAD = 7
 #: Bytes of text in a chunk; bytes looked at together.
 CHUNK, STEP = 12 << 20, 1 << 20
+#: Keys of a subtree in a row of its results.
+PIECE = 1 << 17
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -221,67 +226,96 @@ def _chunks(size: int):
     return run
 
 
+def _rows(part: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch as Python's values, one at a time."""
+    for k in range(part.num_rows):
+        yield part.slice(k, 1).to_pylist()[0]
+
+
 def _texts(held_out, offsets, data) -> Iterator[tuple[bool, bytes]]:
     data = zstandard.ZstdDecompressor().decompress(data)
     for a, b, h in zip(offsets, offsets[1:], held_out, strict=False):
         yield h, data[a:b]
 
 
-def _vocabulary(texts: list[tuple[bool, bytes]]) -> Counter:
-    """Words of a chunk in order of appearance -> how often training documents have them."""
-    words: Counter = Counter()
-    for held, text in texts:
+def _vocabulary(texts: list[tuple[bool, bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+    """Words of a chunk in order of appearance, and each text's words by their numbers."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    used = []
+    for _, text in texts:
         tokens = text.split()
-        words.update(dict.fromkeys(tokens, 0) if held else tokens)
-    return words
+        used.append(np.fromiter(map(numbers.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
+    return list(numbers), used
 
 
 def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        for row in part.to_pylist():
-            words = _vocabulary(list(_texts(row["held_out"], row["offsets"], row["data"])))
+        for row in _rows(part):
+            texts = list(_texts(row["held_out"], row["offsets"], row["data"]))
+            words, used = _vocabulary(texts)
             h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
-            n = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            training = [u for (held, _), u in zip(texts, used, strict=True) if not held]
+            n = np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *training]), minlength=len(words))
+            del texts, words, used, training
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["chunk"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n)], ["chunk", "i", "h", "n"])
 
 
 def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with ``DEPTH`` zeros before each text, which of them are the texts' own,
+    """All bytes with ``PAD`` zeros before each text, which of them are the texts' own,
     and where each text's zeros start."""
-    x = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), dtype=np.uint8)
-    starts = np.cumsum([0, *(DEPTH + len(t) for t in texts)])[:-1]
+    x = np.frombuffer(b"".join(bytes(PAD) + t for t in texts), dtype=np.uint8)
+    starts = np.cumsum([0, *(PAD + len(t) for t in texts)])[:-1]
     own = np.ones(len(x), dtype=bool)
     for at in starts:
-        own[at : at + DEPTH] = False
+        own[at : at + PAD] = False
     return x, own, starts
 
 
 def _keys_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Bytes with the ``DEPTH`` bytes before them, as integers: the nearest of those
     highest, the byte itself lowest."""
-    key = x[at].astype(np.int64)
-    for d in range(1, DEPTH + 1):
-        key |= x[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
+    # the eight bytes up to and with one, the last of them highest: one read for each place
+    key = np.ndarray(len(x) - 7, dtype="<i8", buffer=x, strides=(1,))[at - 7]
+    byte = (key >> 56) & 255
+    key &= ((1 << (8 * DEPTH)) - 1) << (8 * (7 - DEPTH))
+    key >>= 8 * (6 - DEPTH)
+    key |= byte
     return key
 
 
-def _keys(texts: list[bytes]) -> np.ndarray:
-    """The keys of each byte of the texts, zeros standing before a text's start."""
-    x, own, _ = _padded(texts)
-    out = np.empty(sum(map(len, texts)), dtype=np.int64)
-    done = 0
-    for k in range(0, len(x), STEP):
-        at = np.flatnonzero(own[k : k + STEP]) + k
-        out[done : done + len(at)] = _keys_at(x, at)
-        done += len(at)
-    return out
+def _parts(x: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the texts' own bytes and their keys, by ranges of the two nearest bytes, about
+    ``STEP`` of them together: no key is in two of them, and their order is that of keys."""
+    slices = [slice(k, min(k + STEP, len(x))) for k in range(PAD, len(x), STEP)]
+    nearest = lambda at: x[at.start - 1 : at.stop - 1].astype(np.uint16) << 8 | x[at.start - 2 : at.stop - 2]
+    counts = np.zeros(1 << 16, dtype=np.int64)
+    for at in slices:
+        counts += np.bincount(nearest(at)[own[at]], minlength=len(counts))
+    step = np.unique((np.cumsum(counts) - counts) // STEP, return_inverse=True)[1].astype(np.int16)
+    part = np.full(len(x), -1, dtype=np.int16)
+    for at in slices:
+        part[at] = np.where(own[at], step[nearest(at)], -1)
+    for k in range(int(step[-1]) + 1):
+        at = np.flatnonzero(part == k)
+        if len(at):
+            yield at, _keys_at(x, at)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their counts; ``keys`` are put in order."""
-    keys.sort()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.diff(first, append=len(keys))
+def _counted(texts: list[tuple[bool, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a chunk, and how often training documents have them."""
+    x, own, _ = _padded([t for _, t in texts])
+    training = np.repeat([not held for held, _ in texts], [PAD + len(t) for _, t in texts])
+    known, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at, key in _parts(x, own) if own.any() else ():
+        key <<= 1
+        key |= training[at]
+        key.sort()
+        once = key >> 1
+        first = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]]))
+        known.append(once[first])
+        counts.append(np.add.reduceat(key & 1, first))
+    return np.concatenate(known), np.concatenate(counts)
 
 
 def _bucket(gram: np.ndarray) -> np.ndarray:
@@ -298,32 +332,18 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _grams(counted: bool):
-    """Distinct keys of each chunk by bucket and, if ``counted``, how often training documents have them."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in part.to_pylist():
-                texts = list(_texts(row["held_out"], row["offsets"], row["data"]))
-                if counted:
-                    known, n = _distinct(_keys([t for held, t in texts if not held]))
-                    keys = np.union1d(known, _distinct(_keys([t for held, t in texts if held]))[0])
-                    counts = np.zeros(len(keys), dtype=np.int64)
-                    counts[np.searchsorted(keys, known)] = n
-                else:
-                    keys = _distinct(_keys([t for _, t in texts]))[0]
-                bucket = _bucket(keys)
-                order = np.argsort(bucket, kind="stable")
-                keys = keys[order]
-                found, start = np.unique(bucket[order], return_index=True)
-                spans = list(zip(start, [*start[1:], len(keys)], strict=True)) if len(keys) else []
-                cols = [([row["chunk"]] * len(found), pa.int64()), (found.astype(np.int32), pa.int32()), ([_pack(np.diff(keys[i:j], prepend=0)) for i, j in spans], pa.binary())]
-                if counted:
-                    counts = counts[order]
-                    cols.append(([_pack(counts[i:j]) for i, j in spans], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["chunk", "bucket", "grams", "n"][: len(cols)])
-
-    return run
+def _grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of each chunk by bucket and how often training documents have them."""
+    for part in parts:
+        for row in _rows(part):
+            keys, counts = _counted(list(_texts(row["held_out"], row["offsets"], row["data"])))
+            bucket = _bucket(keys)
+            order = np.argsort(bucket, kind="stable")
+            keys, counts = keys[order], counts[order]
+            found, start = np.unique(bucket[order], return_index=True)
+            spans = list(zip(start, [*start[1:], len(keys)], strict=True)) if len(keys) else []
+            cols = [([row["chunk"]] * len(found), pa.int64()), (found.astype(np.int32), pa.int32()), ([_pack(np.diff(keys[i:j], prepend=0)) for i, j in spans], pa.binary()), ([_pack(counts[i:j]) for i, j in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["chunk", "bucket", "grams", "n"])
 
 
 #: ``log_gamma`` of the first whole numbers and a half, and of those and one.
@@ -366,7 +386,9 @@ def _summed(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 def _mixed(rows: pa.Table) -> pa.Table:
     """Whole subtrees below contexts of ``TOP`` bytes. For each key of a bucket the
     probabilities of its eight bits, mixed from depth ``DEPTH`` up to ``TOP``; for each decision
-    of a context of ``TOP`` bytes its counts and weighted probability, under the nearest byte."""
+    of a context of ``TOP`` bytes its counts and weighted probability, under the nearest byte.
+    Beside each piece of the keys stands which of them each chunk has, so that their results
+    need no second look at the texts."""
     gram, n = _summed((np.cumsum(_unpack(g.as_py())), _unpack(c.as_py())) for g, c in zip(rows.column("grams"), rows.column("n"), strict=True))
     bits = np.empty((len(gram), 8), dtype=np.float32)
     tops = []
@@ -389,9 +411,23 @@ def _mixed(rows: pa.Table) -> pa.Table:
         nearest = key >> (level + 8 * (TOP - 1))
         tops.append((nearest * 255 + (1 << level) - 1 + (key & ((1 << level) - 1)), a, b, weighted))
     decision, a, b, w = (np.concatenate(c) for c in zip(*tops, strict=True))
-    none = [None] * len(a)
-    cols = ([rows.column("bucket")[0].as_py()] * (len(a) + 1), [_pack(np.diff(gram, prepend=0)), *none], [bits.tobytes(), *none], *(pa.array([None, *x.tolist()]) for x in (decision, a, b, w)))
-    return pa.table([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), *[None] * 4), strict=True)], ["bucket", "grams", "bits", "decision", "a", "b", "w"])
+    cols = {name: [] for name in ("place", "grams", "bits", "chunks", "asked")}
+    edges = range(0, len(gram), PIECE)
+    cols["place"] = [(rows.column("bucket")[0].as_py() << 32) + k for k in range(len(edges))]
+    cols["grams"] = [_pack(np.diff(gram[e : e + PIECE], prepend=0)) for e in edges]
+    cols["bits"] = [bits[e : e + PIECE].tobytes() for e in edges]
+    cols["chunks"], cols["asked"] = [[] for _ in edges], [[] for _ in edges]
+    for chunk, grams in zip(rows.column("chunk"), rows.column("grams"), strict=True):
+        at = np.searchsorted(gram, np.cumsum(_unpack(grams.as_py())))
+        ends = np.searchsorted(at, [*edges, len(gram)])
+        for k, (e, i, j) in enumerate(zip(edges, ends, ends[1:], strict=False)):
+            if i < j:
+                cols["chunks"][k].append(chunk.as_py())
+                cols["asked"][k].append(_pack(np.diff(at[i:j] - e, prepend=0)))
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64(), *[pa.float64()] * 3)
+    pieces = [pa.array(c, t) for c, t in zip(cols.values(), types, strict=False)]
+    tops = [pa.array(c, t) for c, t in zip((decision, a, b, w), types[5:], strict=True)]
+    return pa.table([pa.chunked_array([p, pa.nulls(len(a), p.type)]) for p in pieces] + [pa.chunked_array([pa.nulls(len(edges), t.type), t]) for t in tops], [*cols, "decision", "a", "b", "w"])
 
 
 def _above(decision: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -410,48 +446,39 @@ def _above(decision: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray
 
 
 def _logs(sent):
-    def run(asked: pa.Table, mixed: pa.Table) -> pa.Table:
-        """Each chunk's keys of a bucket -> log10 probabilities, as bytes of floats."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's keys of a piece -> log10 probabilities, as bytes of floats."""
         base, slope = sent.value
-        gram = np.cumsum(_unpack(mixed.column("grams")[0].as_py()))
-        bits = np.frombuffer(mixed.column("bits")[0].as_py(), dtype=np.float32).reshape(-1, 8)
-        nearest, logs = gram >> (8 * DEPTH), np.zeros(len(gram))
-        for level in range(8):
-            decision = (1 << level) - 1 + ((gram & 255) >> (8 - level))
-            logs += np.log10(base[nearest, decision, (gram >> (7 - level)) & 1] + slope[nearest, decision] * bits[:, level])
-        logs = logs.astype(np.float32)
-        out = [logs[np.searchsorted(gram, np.cumsum(_unpack(g.as_py())))].tobytes() for g in asked.column("grams")]
-        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "s"])
+        for part in parts:
+            for row in _rows(part):
+                gram = np.cumsum(_unpack(row["grams"]))
+                bits = np.frombuffer(row["bits"], dtype=np.float32).reshape(-1, 8)
+                nearest, logs = gram >> (8 * DEPTH), np.zeros(len(gram))
+                for level in range(8):
+                    decision = (1 << level) - 1 + ((gram & 255) >> (8 - level))
+                    logs += np.log10(base[nearest, decision, (gram >> (7 - level)) & 1] + slope[nearest, decision] * bits[:, level])
+                logs = logs.astype(np.float32)
+                out = [logs[np.cumsum(_unpack(at))].tobytes() for at in row["asked"]]
+                yield pa.RecordBatch.from_arrays([pa.array(row["chunks"], pa.int64()), pa.array([row["place"]] * len(out), pa.int64()), pa.array(out, pa.binary())], ["chunk", "place", "s"])
 
     return run
 
 
 def logs_of(chunks: DataFrame) -> DataFrame:
-    """``chunk``, ``logs``: of each chunk's distinct keys, by bucket, the log10
-    probability of the byte after its context under the tree of all training documents."""
-    read = chunks.select("chunk", "held_out", "offsets", "data")
-    grams = read.mapInArrow(thrifty(_grams(True)), "chunk long, bucket int, grams binary, n binary")
-    mixed = written(grams.select("bucket", "grams", "n").groupBy("bucket").applyInArrow(_mixed, "bucket int, grams binary, bits binary, decision long, a double, b double, w double"))
+    """``chunk``, ``place``, ``s``: of each chunk's distinct keys, in order of places, the log10
+    probabilities of the byte after its context under the tree of all training documents."""
+    grams = chunks.select("chunk", "held_out", "offsets", "data").mapInArrow(thrifty(_grams), "chunk long, bucket int, grams binary, n binary")
+    relax(chunks.sparkSession)
+    mixed = written(grams.groupBy("bucket").applyInArrow(lambda rows: thrifted(_mixed(rows)), "place long, grams binary, bits binary, chunks array<long>, asked array<binary>, decision long, a double, b double, w double"))
     top = mixed.filter("decision IS NOT NULL").groupBy("decision").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()  # 256 * 255 rows at most
     sent = chunks.sparkSession.sparkContext.broadcast(_above(*(top.column(k).to_numpy() for k in range(4))))
-    subtrees = mixed.filter("bits IS NOT NULL").select("bucket", "grams", "bits")
-    asked = read.mapInArrow(thrifty(_grams(False)), "chunk long, bucket int, grams binary")
-    found = asked.groupBy("bucket").cogroup(subtrees.groupBy("bucket")).applyInArrow(_logs(sent), "chunk long, bucket int, s binary")
-    return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "s")).alias("logs"))
+    return mixed.filter("place IS NOT NULL").select("place", "grams", "bits", "chunks", "asked").mapInArrow(thrifty(_logs(sent)), "chunk long, place long, s binary")
 
 
 def _numbered(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and for each byte the number of its own (-1 for padding).
-    Keys are sorted by ranges of the nearest byte, about ``STEP`` of them together."""
-    nearest = np.concatenate([np.zeros(1, dtype=np.uint8), x[:-1]])
-    counts = np.bincount(nearest[own], minlength=256)
-    part = (np.cumsum(counts) - counts) // STEP
+    """Sorted distinct keys, and for each byte the number of its own (-1 for padding)."""
     number, known, total = np.full(len(x), -1, dtype=np.int32), [np.zeros(0, dtype=np.int64)], 0
-    for low, high in zip(*(np.searchsorted(part, np.unique(part), side=side) for side in ("left", "right")), strict=True):
-        at = np.flatnonzero(own & (nearest >= low) & (nearest < high))
-        if not len(at):
-            continue
-        key = _keys_at(x, at)
+    for at, key in _parts(x, own):
         order = np.argsort(key)
         key = key[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -461,41 +488,39 @@ def _numbered(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(known), number
 
 
-def _scores(texts: list[bytes], found: pa.Scalar) -> list[float]:
-    """log10 probability of each text of a chunk."""
+def _scores(texts: list[bytes], results: list[bytes]) -> list[float]:
+    """log10 probability of each text of a chunk, from its keys' results in order of buckets."""
     x, own, starts = _padded(texts)
-    if not found.is_valid or not own.any():
+    if not own.any():
         return [0.0] * len(texts)
     known, number = _numbered(x, own)
-    bucket, s = found.values.flatten()
-    logs = np.zeros(len(known) + 1, dtype=np.float32)  # the last is that of padding
-    logs[np.argsort(_bucket(known), kind="stable")] = np.frombuffer(b"".join(s[k].as_py() for k in np.argsort(bucket.to_numpy())), dtype=np.float32)
+    logs = np.empty(len(known), dtype=np.float32)
+    logs[np.argsort(_bucket(known), kind="stable")] = np.frombuffer(b"".join(results), dtype=np.float32)
     del known, x, own
-    return np.add.reduceat(logs[number], starts, dtype=np.float64).tolist()
+    return [float(logs[number[at + PAD : at + PAD + len(t)]].sum(dtype=np.float64)) for at, t in zip(starts, texts, strict=True)]
 
 
 def _scored(total: int, distinct: int, ends: int, columns: list[str], kind: pa.DataType):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        """The rows of a chunk's texts, from its words' counts and its keys' results."""
         below = float(np.log10(total + 0.1 * (distinct + 1)))
-        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        for part in parts:
-            for row in range(part.num_rows):
-                ids, held, offsets, data, found, logs_found = (part.column(k)[row] for k in range(6))
-                texts = list(_texts(held.as_py(), offsets.as_py(), data.as_py()))
-                scores = _scores([t for _, t in texts], logs_found)  # before the words take memory
-                words = list(_vocabulary(texts))
-                counts = np.zeros(len(words), dtype=np.int64)
-                if found.is_valid:
-                    i, c = found.values.flatten()
-                    counts[i.to_numpy()] = c.to_numpy()
-                seen = dict(zip(words, (counts > 0).tolist(), strict=True))
-                logs = dict(zip(words, (np.log10(counts + 0.1) - below).tolist(), strict=True))
-                end = float(np.log10(ends + 0.1) - below)
-                out = []
-                for (h, text), s in zip(texts, scores, strict=True):
-                    tokens = text.split()
-                    out.append((h, len(tokens) + 1, sum(map(seen.__getitem__, tokens)) + (ends > 0), total, sum(map(logs.__getitem__, tokens)) + end, s, -s / float(np.log10(2)) / len(text) if text else None))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), kind), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], columns)
+        types = (kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        ids, held, offsets, data = (chunk.column(name)[0].as_py() for name in ("ids", "held_out", "offsets", "data"))
+        texts = list(_texts(held, offsets, data))
+        of_keys = found.filter(pa.compute.is_valid(found.column("s"))).sort_by("place").column("s").to_pylist()
+        scores = _scores([t for _, t in texts], of_keys)  # before the words take memory
+        del of_keys, data
+        words, used = _vocabulary(texts)
+        counts = np.zeros(len(words), dtype=np.int64)
+        del words
+        of_words = found.filter(pa.compute.is_valid(found.column("c")))
+        counts[of_words.column("place").to_numpy()] = of_words.column("c").to_numpy()
+        seen, logs = counts > 0, np.log10(counts + 0.1) - below
+        end = float(np.log10(ends + 0.1) - below)
+        out = []
+        for i, (h, text), u, s in zip(ids, texts, used, scores, strict=True):
+            out.append((i, h, len(u) + 1, int(np.count_nonzero(seen[u])) + (ends > 0), total, float(logs[u].sum()) + end, s, -s / float(np.log10(2)) / len(text) if text else None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
 
     return run
 
@@ -514,10 +539,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     n, v = counts.agg(F.sum("n"), F.count_if("one")).first()
     ends = chunks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     total, distinct = (n or 0) + ends, v + (ends > 0)
-    found = counts.groupBy("chunk").agg(F.collect_list(F.struct("i", "c")).alias("found"))
     out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    joined = chunks.join(found, "chunk", "left").join(logs_of(chunks), "chunk", "left").select("ids", "held_out", "offsets", "data", "found", "logs")
+    # rows of words and of keys side by side, read in Arrow: lists made by the engine fill its heap
+    of_words = counts.select("chunk", F.col("i").cast("long").alias("place"), "c", F.lit(None).cast("binary").alias("s"))
+    found = of_words.unionByName(logs_of(chunks).withColumn("c", F.lit(None).cast("long")))
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return joined.mapInArrow(thrifty(_scored(total, distinct, ends, out, to_arrow_type(docs.schema[id_col].dataType))), types)
+    run = _scored(total, distinct, ends, out, to_arrow_type(docs.schema[id_col].dataType))
+    relax(docs.sparkSession)
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda chunk, found: thrifted(run(chunk, found)), types)
